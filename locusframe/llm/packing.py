@@ -16,8 +16,10 @@ An empty table gives no pieces.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,45 +33,88 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 #: White space of Unicode; Python's split() takes four control characters more.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins what it separates, so ids are kept by
-    chunk; at ``most`` chunks they are forgotten and collected anew.
+    chunk, in two generations of at most about ``most`` chunks each: what the younger one
+    doesn't take over from the older one is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _one_by_one(self, chunks: list[str]) -> None:
         for chunk, got in zip(chunks, self.model.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+            self.known[chunk] = array("I", got.ids).tobytes()
+
+    def _words(self, words: list[str], group: int = 400) -> None:
+        """Words of letters only go through the tokenizer together; ids that end a word part them again."""
+        groups = [words[i : i + group] for i in range(0, len(words), group)]
+        for own, got in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(own):  # a letter that becomes several characters in lower case
+                self._one_by_one(own)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(own, (4 * ends).tolist()):
+                self.known[word] = data[at:end]
+                at = end
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, words, others, marked = self.known, set(), set(), []
+        older = self.older
+        for x in chunks:
+            if x in older:
+                known[x] = older[x]
+                continue
+            base = x.rstrip(MARKS)
+            if not base.isalpha():
+                others.add(x)
+            else:  # letters, then ASCII marks: the tokenizer parts them there
+                words.add(base)
+                if len(base) < len(x):
+                    marked.append((x, base, x[len(base) :]))
+                    others.add(x[len(base) :])
+        self._words([x for x in words if x not in known])
+        self._one_by_one([x for x in others if x not in known])
+        for x, base, marks in marked:
+            known[x] = known[base] + known[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        get = self.known.get
+        out, new = [], {}
         for text in texts:
             text = text.lower() if text.isascii() else text
-            split.append([x for x in _SPACE.split(text) if x] if _CONTROLS.search(text) else text.split())
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = [x for x in set().union(*split) if x not in known]
-        # A word with one full stop or comma at its end is that word, then the mark.
-        marked = [x for x in new if x[-1] in ".," and x[:-1].isalpha()]
-        plain = set(new).difference(marked)
-        plain.update(x for m in marked for x in (m[:-1], m[-1]) if x not in known)
-        self._learn(list(plain))
-        for x in marked:
-            known[x] = known[x[:-1]] + known[x[-1]]
-        return [b"".join([known[x] for x in chunks]) for chunks in split]
+            chunks = [x for x in _SPACE.split(text) if x] if _CONTROLS.search(text) else text.split()
+            ids = list(map(get, chunks))
+            unknown, at = [], -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                unknown.append((at, chunks[at]))
+                new[chunks[at]] = None
+            out.append((ids, unknown))
+        self._learn(list(new))
+        for ids, unknown in out:
+            for at, chunk in unknown:
+                ids[at] = self.known[chunk]
+        return [b"".join(ids) for ids, _ in out]
 
 
 def cuts(n: int, capacity: int, classes: int, slack: float) -> list[int]:
@@ -115,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        gc.disable()  # a million cached strings are no garbage, and there are no cycles
         encode, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 33
         open_bins: dict[int, list[tuple]] = {m: [] for m in range(1, classes + 1)}
         small_fill = 0
