@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, toxicity, urls
+from . import fingerprints, licenses, likelihood, packing, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": lambda spark, d: licenses.query(table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: urls.query(table(spark, d, "pages")),
+    "op6_fingerprints": lambda spark, d: fingerprints.query(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op9_likelihood": lambda spark, d: likelihood.query(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.SQL,
     "op4_url_filter": urls.SQL,
 }
