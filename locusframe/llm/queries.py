@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, licenses, likelihood, packing, toxicity, urls
+from . import decontamination, fingerprints, licenses, likelihood, packing, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": lambda spark, d: decontamination.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op2_license_scan": lambda spark, d: licenses.query(table(spark, d, "documents")),
+    "op3_warc": warc.query,
     "op4_url_filter": lambda spark, d: urls.query(table(spark, d, "pages")),
     "op6_fingerprints": lambda spark, d: fingerprints.query(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.SQL,
     "op2_license_scan": licenses.SQL,
+    "op3_warc": warc.SQL,
     "op4_url_filter": urls.SQL,
 }
