@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWERING, cut, letter_words, pieces, small_batches
+from .suffixes import by_doubling
 
 WINDOW, SAMPLE = 8, 16
 RESULTS = "n_words long, n_hit long, spans array<struct<first:long,end:long>>, items array<string>"
@@ -55,38 +56,11 @@ class Phrases:
         self.shortest = min(self.by_length, default=0)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By doubling; only suffixes whose order is open are sorted again."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    k = 1
-    while True:
-        sorted_rank = rank[order]
-        new = np.r_[True, sorted_rank[1:] != sorted_rank[:-1]]
-        if new.all():
-            return order
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, n])
-        head = np.repeat(start, size)  # the rank of a suffix: where its group begins
-        rank = np.empty(n, np.int64)
-        rank[order] = head
-        at = np.flatnonzero(np.repeat(size > 1, size))
-        own = order[at]
-        second = np.where(own + k < n, rank[np.minimum(own + k, n - 1)], -1)
-        by = np.lexsort((second, head[at]))
-        order[at] = own[by]
-        key = head[at] * (n + 1) + second[by] + 1
-        first = np.r_[True, key[1:] != key[:-1]]
-        rank[order[at]] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-        k *= 2
-
-
 class Index:
     """FM-index of a text over small non-negative integers that ends with END."""
 
     def __init__(self, text: np.ndarray):
-        order = suffix_array(text)
+        order = by_doubling(text)
         bwt = text[order - 1]
         self.size = len(text)
         self.levels = max(1, int(text.max()).bit_length())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, licenses, likelihood, packing, toxicity, urls, warc
+from . import decontamination, fingerprints, licenses, likelihood, packing, repeats, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": lambda spark, d: licenses.query(table(spark, d, "documents")),
     "op3_warc": warc.query,
     "op4_url_filter": lambda spark, d: urls.query(table(spark, d, "pages")),
+    "op5_repeats": lambda spark, d: repeats.query(table(spark, d, "documents")),
     "op6_fingerprints": lambda spark, d: fingerprints.query(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_likelihood": lambda spark, d: likelihood.query(table(spark, d, "documents")),
