@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, licenses, likelihood, packing, repeats, toxicity, urls, warc
+from . import decontamination, fingerprints, jaccard, licenses, likelihood, packing, repeats, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeats": lambda spark, d: repeats.query(table(spark, d, "documents")),
     "op6_fingerprints": lambda spark, d: fingerprints.query(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op8_jaccard_join": lambda spark, d: jaccard.query(table(spark, d, "documents")),
     "op9_likelihood": lambda spark, d: likelihood.query(table(spark, d, "documents")),
     "op10_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
 }
