@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, TUPLE, ROWS, POOL = 2, 2, 32, 64
+#: Places are told apart up to 16 million pieces of a text, and start anew beyond; a pool has 256 k-mers at most.
+PLACE_BITS = 24
+PLACES = 1 << PLACE_BITS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,15 +30,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _packed(h: Column, place: Column) -> Column:
+    """40 bits of a hash over 24 bits of a place: longs sort much faster than structs."""
+    return F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(place.cast("long").bitwiseAND(PLACES - 1))
+
+
 def _occurrences(kmers: Column) -> Column:
-    """(hash of the numbered k-mer, place) from sorted (k-mer, place) pairs."""
-    steps = F.array(*[F.lit(1 << b) for b in range(24, -1, -1)])
+    """The sorted packed k-mers with hashes that tell their occurrences apart."""
+    steps = F.array(*[F.lit(1 << b) for b in range(PLACE_BITS, -1, -1)])
+
+    def same(i: Column, kmer: Column) -> Column:
+        return F.shiftright(F.get(kmers, i), PLACE_BITS) == F.shiftright(kmer, PLACE_BITS)
 
     def numbered(kmer: Column, i: Column) -> Column:
         # Equal k-mers are neighbours: the largest distance at which an equal one stands, bit by bit.
-        far = F.aggregate(steps, F.lit(0), lambda d, step: F.when((i - d - step >= 0) & (F.get(kmers, i - d - step)["k"] == kmer["k"]), d + step).otherwise(d))
-        nth = F.when((i > 0) & (F.get(kmers, i - 1)["k"] == kmer["k"]), far).otherwise(0)
-        return F.struct(F.xxhash64(kmer["k"], nth).alias("h"), kmer["p"].alias("p"))
+        far = F.aggregate(steps, F.lit(0), lambda d, step: F.when((i - d - step >= 0) & same(i - d - step, kmer), d + step).otherwise(d))
+        nth = F.when((i > 0) & same(i - 1, kmer), far).otherwise(0)
+        return _packed(F.xxhash64(F.shiftright(kmer, PLACE_BITS), nth), kmer)
 
     return F.transform(kmers, numbered)
 
@@ -43,13 +54,16 @@ def _occurrences(kmers: Column) -> Column:
 def signature(text: Column, rows: int = ROWS, pool: int = POOL) -> Column:
     """ROWS 32-bit integers."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,8}"), F.lit(0))
-    kmers = let(parts, lambda w: F.array_sort(F.transform(w, lambda x, i: F.struct(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, K)]).alias("k"), i.alias("p")))))
-    kept = let(kmers, lambda s: F.slice(F.array_sort(_occurrences(s)), 1, pool))
+    kmers = let(parts, lambda w: F.sort_array(F.transform(w, lambda x, i: _packed(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, K)]), i))))
+    least = let(kmers, lambda s: F.slice(F.sort_array(_occurrences(s)), 1, pool))
+    # In text order: place first, then what tells the k-mer.
+    turned = F.sort_array(F.transform(least, lambda x: F.shiftleft(x.bitwiseAND(PLACES - 1), 64 - PLACE_BITS).bitwiseXOR(F.lit(-(1 << 63))).bitwiseOR(F.shiftrightunsigned(x, PLACE_BITS))))
+    kept = F.transform(turned, lambda x: x.bitwiseAND((1 << (64 - PLACE_BITS)) - 1))
 
     def row(kept: Column, j: Column) -> Column:
-        drawn = F.slice(F.array_sort(F.transform(kept, lambda x: F.struct(F.xxhash64(x["h"], j).alias("d"), x["p"].alias("p"), x["h"].alias("h")))), 1, TUPLE)
-        in_order = F.array_sort(F.transform(drawn, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
-        return F.xxhash64(F.transform(in_order, lambda x: x["h"])).bitwiseAND(0xFFFFFFFF)
+        drawn = F.slice(F.sort_array(F.transform(kept, lambda x, i: F.shiftleft(F.shiftright(F.xxhash64(x, j), 8), 8).bitwiseOR(i.cast("long")))), 1, TUPLE)
+        in_order = F.sort_array(F.transform(drawn, lambda x: x.bitwiseAND(255)))
+        return F.xxhash64(F.transform(in_order, lambda i: F.get(kept, i.cast("int")))).bitwiseAND(0xFFFFFFFF)
 
     return let(kept, lambda pool_: F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda j: row(pool_, j)))
 
