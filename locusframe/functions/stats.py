@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .variants import present
 
@@ -69,7 +70,7 @@ def imputation_score(text: Column) -> Column:
     return F.struct(F.when(status == "usable", value).alias("score"), status.alias("status"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_from_z(z: pd.Series) -> pd.Series:
     return pd.Series(_erfc(z.abs().to_numpy(float) / math.sqrt(2)))
 
@@ -85,12 +86,12 @@ def _log_tail(x: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log10_p(z: pd.Series) -> pd.Series:
     return pd.Series((math.log(2) + _log_tail(z.abs().to_numpy(float))) / math.log(10))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile_of_half(p: pd.Series) -> pd.Series:
     """-quantile(p / 2), for 0 < p < 1."""
     return p.map(lambda v: -_normal.inv_cdf(v / 2) if v is not None and 0 < v < 1 else None).astype(float)

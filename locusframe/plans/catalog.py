@@ -409,7 +409,7 @@ def a12(spark, d):
 
 @query("m7_rho", None)
 def m7(spark, d):
-    return rho_.estimated(a12(spark, d), 2.5, least=50)
+    return rho_.estimated(a12(spark, d), 2.5, least=10)
 
 
 @query("s7_intersect", f"SELECT alid FROM variants WHERE variant_index IN {_PANEL} AND chromosome = '3'")
