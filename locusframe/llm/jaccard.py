@@ -204,8 +204,9 @@ def linked(sets: list[np.ndarray], share: int = 80) -> tuple[np.ndarray, np.ndar
                 going[a:b] = going[own_parent] & possible[a:b] & (bound >= needed(size, least[a:b], share))
                 if not going[a:b].any():
                     break
-            leaf = tree.leaf[own[going]]
-            got = leaf[(leaf >= 0)]
+            # A set that is the beginning of others ends at an inner node: its own overlap decides.
+            leaf = tree.leaf[own]
+            got = leaf[going & (leaf >= 0) & (overlap >= needed(size, depth, share))]
             got = got[open_[got]]
             if len(got):
                 component[got], open_[got] = start, False

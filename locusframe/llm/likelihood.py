@@ -190,14 +190,14 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1)
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), "text")
     counts = cut(word_counts(own.where(fold(F.col("doc_id")) != HELD_OUT)), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
     n, below = total.n, np.log10(max(1e-9, total.n + 0.5 * (total.v + 1)))
     frequent = counts.where(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(hot).collect()
-    shared = spark.sparkContext.broadcast((
-        {bytes(r.word): float(np.log10(r.c + 0.5) - below) for r in frequent},
-        adapted(Lattice.load(vocabulary), counts, rounds),
-        total.v <= len(frequent),
-    ))
+    known = {bytes(r.word): float(np.log10(r.c + 0.5) - below) for r in frequent}
+    if total.ends:
+        known[b""] = float(np.log10(total.ends + 0.5) - below)  # every document has the end token
+    whole = total.v <= len(known)
+    shared = spark.sparkContext.broadcast((known, adapted(Lattice.load(vocabulary), counts, rounds), whole))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -233,7 +233,7 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1)
 
     schema = "row long, word binary, times int, doc_id long, n_tokens long, n_known long, base double, score double"
     rows = own.mapInPandas(run, schema)  # the row with a document's sums has a word that no text holds
-    if total.v > len(frequent):
+    if not whole:
         rows = rows.join(counts, "word", "left")
         doc_row = F.col("n_tokens") > 0
         rows = rows.select(
