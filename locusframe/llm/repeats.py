@@ -168,13 +168,7 @@ def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> Dat
     sizes = distinct.groupBy("h").agg(F.sum(F.col("strings") + length).alias("bytes"))
     totals = sizes.agg(F.sum(F.when(F.col("bytes") <= hot_bytes, F.col("bytes"))).alias("bytes"), F.count(F.when(F.col("bytes") > hot_bytes, 1)).alias("hot")).first()
     out = [w.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end")) for w in whole]
-    hot = None
-    if totals.hot:
-        hot = cut(sizes.where(F.col("bytes") > hot_bytes).select("h"), "hot")
-        out.append(_hot_spans(docs, cut(distinct.join(hot, "h", "left_semi"), "hot-segments"), length))
-    n_shards = max(1, math.ceil((totals.bytes or 0) / shard_bytes))
-    if totals.bytes:
-        ordinary = distinct if hot is None else distinct.join(hot, "h", "left_anti")
+    if totals.bytes or totals.hot:
 
         def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in pieces(frames, "text", 2_000_000):
@@ -190,55 +184,65 @@ def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> Dat
             rows = [(doc, key, start + a, start + b) for doc, key, start, n, at in zip(frame["doc"], frame["key"], frame["start"], frame["n"], got) if n == 1 for a, b in _runs(at, length)]
             return pd.DataFrame(rows, columns=["doc", "key", "start", "end"])
 
-        got = _fetch(docs, ordinary, take, "h long, s long, n long, doc long, key long, start long, data binary")
-        out.append(got.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards))).groupBy("shard").applyInPandas(order, SPAN))
+        # Texts are read once more, for the bytes of one segment of each kind; all that follows works on these.
+        data = _fetch(docs, distinct, take, "h long, s long, n long, doc long, key long, start long, data binary")
+        ordinary = data
+        if totals.hot:
+            data = cut(data, "bytes")
+            hot = cut(sizes.where(F.col("bytes") > hot_bytes).select("h"), "hot")
+            out.append(_hot_spans(data.join(hot, "h", "left_semi"), length))
+            ordinary = data.join(hot, "h", "left_anti")
+        n_shards = max(1, math.ceil((totals.bytes or 0) / shard_bytes))
+        out.append(ordinary.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards))).groupBy("shard").applyInPandas(order, SPAN))
     spans_ = out[0]
     for x in out[1:]:
         spans_ = spans_.unionByName(x)
     return spans_
 
 
-def _hot_spans(docs: DataFrame, distinct: DataFrame, length: int) -> DataFrame:
+def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
     """Spans in the segments of anchors with too many different ones for a shard: by counting cells, then strings."""
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         hashed = xxhash.xxh3_64_intdigest
-        for part in pieces(frames, "text", 1_000_000):
+        for part in frames:
             rows = []
-            for doc, key, text, needs in part.itertuples(index=False):
-                data = text.encode("utf-8", "surrogatepass")
-                for x in needs:
-                    low, high = x["start"], x["start"] + x["strings"]
-                    area = np.frombuffer(data[low : high + length - 1], np.uint8)
-                    anchor = low + int(np.flatnonzero(gram_hashes(area).view(np.int64) == x["h"])[0])
-                    at = low
-                    while at < high:
-                        cell = (anchor - at) // CELL
-                        end = min(high, anchor - cell * CELL + 1)  # strings whose anchor is at offsets of this cell
-                        core = data[anchor - cell * CELL : anchor - (cell + 1) * CELL + 1 + length]
-                        rows.append((doc, key, at, end - at, x["n"], *(v - (1 << 64) if v >> 63 else v for v in (hashed(core, seed=cell) ^ (x["h"] & (1 << 64) - 1), hashed(data[at : end + length - 1], seed=anchor - at)))))
-                        at = end
-            yield pd.DataFrame(rows, columns=["doc", "key", "start", "strings", "n", "core", "cell"])
+            for h, n, doc, key, low, data in part[["h", "n", "doc", "key", "start", "data"]].itertuples(index=False):
+                data = bytes(data)
+                strings = len(data) - length + 1
+                anchor = int(np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == h)[0])
+                at = 0
+                while at < strings:
+                    cell = (anchor - at) // CELL
+                    end = min(strings, anchor - cell * CELL + 1)  # strings whose anchor is at offsets of this cell
+                    core = data[anchor - cell * CELL : anchor - (cell + 1) * CELL + 1 + length]
+                    keys = (hashed(core, seed=cell) ^ (h & (1 << 64) - 1), hashed(data[at : end + length - 1], seed=anchor - at))
+                    rows.append((doc, key, low, low + at, end - at, n, *(v - (1 << 64) if v >> 63 else v for v in keys)))
+                    at = end
+            yield pd.DataFrame(rows, columns=["doc", "key", "segment", "start", "strings", "n", "core", "cell"])
 
     def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        for part in pieces(frames, "text", 1_000_000):
+        for part in frames:
             rows = []
-            for doc, key, text, needs in part.itertuples(index=False):
-                data = text.encode("utf-8", "surrogatepass")
-                rows += [(doc, key, at, x["n"], xxhash.xxh3_128_digest(data[at : at + length])) for x in needs for at in range(x["start"], x["start"] + x["strings"])]
+            for doc, key, segment, start, n_strings, n, data in part[["doc", "key", "segment", "start", "strings", "n", "data"]].itertuples(index=False):
+                data, low = bytes(data), start - segment
+                rows += [(doc, key, start + k, n, xxhash.xxh3_128_digest(data[low + k : low + k + length])) for k in range(n_strings)]
             yield pd.DataFrame(rows, columns=["doc", "key", "start", "n", "string"])
 
-    parts = cut(_fetch(docs, distinct, cells, "doc long, key long, start long, strings long, n long, core long, cell long").dropDuplicates(["doc", "key", "start"]), "cells")
-    by_cell = parts.groupBy("core", "cell").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "key", "start", "strings")).alias("at"))
+    schema = "doc long, key long, segment long, start long, strings long, n long, core long, cell long"
+    parts = cut(segments_.mapInPandas(cells, schema).dropDuplicates(["doc", "key", "start"]), "cells")
+    by_cell = parts.groupBy("core", "cell").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "key", "segment", "start", "strings")).alias("at"))
     by_cell = cut(by_cell.select("core", "cell", "n", "at.*"), "by-cell")
     whole = parts.join(by_cell.where("n > 1").select("core", "cell"), ["core", "cell"], "left_semi")
     open_cores = by_cell.groupBy("core").agg((F.min("cell") != F.max("cell")).alias("mixed")).where("mixed").select("core")
-    left = by_cell.join(cut(open_cores, "cores"), "core", "left_semi").select("doc", "key", "start", "strings", "n")
-    each = cut(_fetch(docs, left, strings, "doc long, key long, start long, n long, string binary").dropDuplicates(["doc", "key", "start"]), "strings")
+    left = by_cell.join(cut(open_cores, "cores"), "core", "left_semi").select("doc", "key", "segment", "start", "strings", "n")
+    held = segments_.select("doc", "key", F.col("start").alias("segment"), "data")
+    each = left.join(held, ["doc", "key", "segment"]).mapInPandas(strings, "doc long, key long, start long, n long, string binary")
+    each = cut(each.dropDuplicates(["doc", "key", "start"]), "strings")
     twice = cut(each.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string"), "twice")
     single = each.join(twice, "string", "left_semi").withColumn("strings", F.lit(1))
     both = whole.select("doc", "key", "start", "strings").unionByName(single.select("doc", "key", "start", "strings"))
