@@ -146,15 +146,66 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differs[0]) if len(differs) else n
 
 
-def linked(sets: list[np.ndarray], share: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    """(component of each distinct set, its number of links that were needed to find it)."""
-    values, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(values))  # frequent ones first: long common beginnings
-    bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
-    sets = [np.sort(rank[ids[a:b]]) for a, b in zip(bounds, bounds[1:])]
+def _least_labels(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """The components of sets 0 .. n-1 that share tokens, each by its least set."""
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    starts = np.flatnonzero(np.r_[True, tokens[order][1:] != tokens[order][:-1]])
+    size = np.diff(np.r_[starts, len(owner)])
+    label = np.arange(n)
+    while len(starts):
+        least = np.repeat(np.minimum.reduceat(label[owner], starts), size)
+        new = label.copy()
+        np.minimum.at(new, owner, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def linked(sets: list[np.ndarray], share: int = 80) -> np.ndarray:
+    """The component of each distinct set, by one of its members.
+
+    What can't link is parted before a tree is built, and again with the counts of the parts:
+    sets with too many shingles of their own, and sets without a common one among their first,
+    rarest first.
+    """
+    component, todo = np.arange(len(sets)), [np.arange(len(sets))]
+    while todo:
+        group = todo.pop()
+        if len(group) < 2:
+            continue
+        size = np.array([len(sets[i]) for i in group])
+        owner = np.repeat(np.arange(len(group)), size)
+        values, ids, count = np.unique(np.concatenate([sets[i] for i in group]), return_inverse=True, return_counts=True)
+        own = np.bincount(owner, count[ids] == 1, len(group)).astype(np.int64)
+        possible = 100 * own <= (100 - share) * size
+        if not possible.all():
+            todo.append(group[possible])
+            continue
+        rank = np.empty(len(values), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(values))  # rarest first
+        place = rank[ids]
+        by = np.lexsort((place, owner))
+        nth = np.arange(len(by)) - np.repeat(np.cumsum(size) - size, size)
+        first = by[nth < np.repeat(size - -(-share * size // 100) + 1, size)]
+        label = _least_labels(place[first], owner[first], len(group))
+        if (label > 0).any():
+            order = np.argsort(label, kind="stable")
+            todo += np.split(group[order], np.flatnonzero(np.diff(label[order])) + 1)
+            continue
+        frequent = len(values) - 1 - rank  # frequent ones first: long common beginnings
+        parts = np.split(frequent[ids], np.cumsum(size)[:-1])
+        component[group] = group[_walked([np.sort(x) for x in parts], size - own, len(values), share)]
+    return component
+
+
+def _walked(sets: list[np.ndarray], common: np.ndarray, n_values: int, share: int) -> np.ndarray:
+    """Components by walks of the prefix tree.  common: how many of a set's shingles others have too."""
     tree, n = Tree(sets), len(sets)
-    component, open_, mask = np.full(n, -1), np.ones(n, bool), np.zeros(len(values), np.int64)
+    sizes = np.array([len(s) for s in sets])
+    component, open_, mask = np.full(n, -1), np.ones(n, bool), np.zeros(n_values, np.int64)
     nodes, stale = None, 0
 
     def alive() -> tuple:
@@ -175,19 +226,20 @@ def linked(sets: list[np.ndarray], share: int = 80) -> tuple[np.ndarray, np.ndar
         levels = np.searchsorted(tree.level[own], np.arange(tree.level[own].max() + 2) if len(own) else [0])
         return own, tokens, np.r_[0, ends], np.where(tree.parent[own] >= 0, new_id[tree.parent[own]], 0), levels
 
-    for start in range(n):
+    for start in np.argsort(sizes - common, kind="stable").tolist():  # those with little of their own reach most
         if not open_[start]:
             continue
         component[start], open_[start] = start, False
         queue, stale = [start], stale + 1
         while queue:
             q = queue.pop()
+            size = len(sets[q])
+            least_overlap = needed(size, sizes, share)
+            if not (open_ & (least_overlap <= common) & (least_overlap <= common[q])).any():
+                continue
             if nodes is None or stale > 0.2 * (open_.sum() + stale):
                 nodes, stale = alive(), 0
             own, tokens, edge, parent, levels = nodes
-            if not len(own) or not open_.any():
-                continue
-            size = len(sets[q])
             mask[sets[q]] = 1
             hits = np.r_[0, np.cumsum(mask[tokens])]
             overlap = hits[edge[1:]] - hits[edge[:-1]]
@@ -212,7 +264,7 @@ def linked(sets: list[np.ndarray], share: int = 80) -> tuple[np.ndarray, np.ndar
                 component[got], open_[got] = start, False
                 queue += got.tolist()
                 stale += len(got)
-    return component, open_
+    return component
 
 
 def _classes(docs: DataFrame, k: int) -> DataFrame:
@@ -333,7 +385,7 @@ def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block:
         frame = frame.drop_duplicates("cls")
         cls = frame["cls"].to_numpy()
         hashes, bounds = shingle_sets(frame["text"].tolist(), k)
-        got, _ = linked([hashes[a:b] for a, b in zip(bounds, bounds[1:])], share)
+        got = linked([hashes[a:b] for a, b in zip(bounds, bounds[1:])], share)
         linked_ = got != np.arange(len(cls))
         return pd.DataFrame({"a": cls[got[linked_]], "b": cls[linked_]})
 

@@ -219,7 +219,7 @@ def test_prefix_tree_against_all_pairs():
         base = rng.choice(60, 30, replace=False)
         sets = {tuple(sorted(np.r_[base[rng.random(30) > 0.1], rng.choice(200, rng.integers(0, 4))])) for _ in range(25)}
         sets = [np.unique(np.array(s, np.uint64)) for s in sets]
-        got, _ = jaccard.linked(sets)
+        got = jaccard.linked(sets)
         group = list(range(len(sets)))
 
         def find(x, group=group):
