@@ -407,13 +407,13 @@ def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block:
 
 
 def joined(docs: DataFrame, share: int = 80, k: int = K) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, component_id (smallest doc_id reachable by links)."""
+    """doc_id, key (hash of the text), n_shingles, component_id (smallest doc_id reachable by links), group (null for an empty set)."""
     classes, found = links(docs, share, k)
     of = components(found)
     labelled = classes.join(of.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("group", F.coalesce("component", "cls"))
     least = cut(labelled.where("cls IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("least")), "least")
     got = labelled.join(least, "group", "left")
-    return got.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return got.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "group")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -421,9 +421,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents of smallest doc_id in their component, as they are; of repeated rows of a doc_id, all with the text that is first by hash."""
+    """Of each component the document of smallest doc_id (null ones last, then by hash of the text), as it is; documents with empty sets all stay.  Repeated rows of a document stay once."""
     got = joined(docs)
-    kept = got.where("doc_id IS NULL OR doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("_key"))
-    own = docs.withColumn("_key", text_key(F.col("text")))
-    same = F.col("o.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("o._key") == F.col("k._key"))
-    return own.alias("o").join(kept.alias("k"), same, "left_semi").select(*docs.columns)
+    first = got.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "key")).alias("at")).select("at.doc_id", "at.key")
+    kept = first.unionByName(got.where("group IS NULL").select("doc_id", "key"))
+    key = lambda doc: F.coalesce(doc.cast("long"), F.lit(-(1 << 63)))
+    kept = kept.select(key(F.col("doc_id")).alias("_doc"), F.col("key").alias("_key"))
+    own = docs.withColumn("_doc", key(F.col("doc_id"))).withColumn("_key", text_key(F.col("text")))
+    # The same partitioning serves the semi join and the removal of repeated rows.
+    return own.join(kept, ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"]).select(*docs.columns)

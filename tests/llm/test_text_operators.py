@@ -239,8 +239,13 @@ def test_prefix_tree_against_all_pairs():
 def test_one_of_each(docs, rows):
     got = jaccard.one_of_each(docs)
     assert got.columns == docs.columns
-    kept = {r.doc_id for r in got.collect()}
-    assert {component for (_, n, component), _ in classes(rows).items() if n} | {71, 72, 70} <= kept | {None}
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert max(kept.values()) == 1
+    per = {}
+    for (doc, n, component), k in classes(rows).items():
+        per.setdefault(component if n else ("empty", doc), []).append(doc)
+    ids = {doc for doc, _ in kept}
+    assert ids == {c[1] if isinstance(c, tuple) else c for c in per}
 
 
 # Likelihood
