@@ -249,7 +249,7 @@ def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
     return both.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"))
 
 
-def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 2_000_000, hot_bytes: int = 2_000_000) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000) -> DataFrame:
     """The documents with kept (bytes that no repeated string covers), n_bytes, n_removed and n_spans (maximal removed runs)."""
     own = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
     got = spans(own.select("_doc", "_key", "text"), length, shard_bytes, hot_bytes)
