@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of word-shingle sets by prefix trees.
 
 1. Equal sets are one class.  A quarter of all shingles, chosen by hash, is counted: if more
-   than a fifth of a class's size are shingles that no other class has, it has no partner.
+   than a fifth of a class's size are shingles that no other class has, it has no partner.  The classes left are tested so again, with all their shingles.
 2. The classes left are ordered alike: shingles by how frequent they are (a sketch of fixed
    size over all classes tells), then by hash.  Two sets of Jaccard 0.8 share a shingle
    among their first n - ceil(0.8 n) + 1; classes that share one are in one neighbourhood.
@@ -301,6 +301,13 @@ def _sampled(docs: DataFrame, k: int, sample: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "h long, cls long")
 
 
+def _with_common(classes: DataFrame, texts: DataFrame, k: int, sample: int, share: int) -> DataFrame:
+    """Rows of the classes (cls, n) but those with too many (sampled) shingles that no other class of the texts has."""
+    alone = _sampled(texts, k, sample).groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).where("cls = other")
+    per = alone.groupBy("cls").agg(F.count("*").alias("u"))
+    return classes.join(per, "cls", "left").where(100 * F.coalesce("u", F.lit(0)) <= (100 - share) * F.col("n")).drop("u")
+
+
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     """Counts of shingles by 20 bits of their hashes: four megabytes, whatever the input."""
 
@@ -348,12 +355,12 @@ def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     classes = cut(_classes(own, k), "classes")
-    alone = _sampled(own, k, sample).groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).where("cls = other").groupBy("cls").agg(F.count("*").alias("u"))
     per = classes.where("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "key")).alias("at"))
-    left = per.join(alone, "cls", "left").where(100 * F.coalesce("u", F.lit(0)) <= (100 - share) * F.col("n")).select("cls", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"))
+    left = _with_common(per, own, k, sample, share).select("cls", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"))
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.key") == F.col("c.key"))
-    texts = own.alias("d").join(left.alias("c"), same).select("cls", "text")
-    texts = cut(texts, "texts")
+    texts = cut(own.alias("d").join(left.alias("c"), same).select("cls", "n", "text"), "texts")
+    # Once more among those left, and now with all their shingles.
+    texts = cut(_with_common(texts, texts, k, 1, share).select("cls", "text"), "texts")
     counts = _sketch(texts, k)
     common = np.maximum(counts // max(1, 4 * int(counts.mean()) + 4), 0)
     shared = spark.sparkContext.broadcast(np.where(common > 0, np.ceil(np.log2(common + 1)), 0).astype(np.uint64))
