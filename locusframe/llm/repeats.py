@@ -249,8 +249,11 @@ def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
     return both.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"))
 
 
-def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000) -> DataFrame:
-    """The documents with kept (bytes that no repeated string covers), n_bytes, n_removed and n_spans (maximal removed runs)."""
+def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000, as_text: bool = False) -> DataFrame:
+    """The documents with kept (bytes that no repeated string covers), n_bytes, n_removed and n_spans (maximal removed runs).
+
+    as_text: kept is a string, of the characters that lost no byte.
+    """
     own = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
     got = spans(own.select("_doc", "_key", "text"), length, shard_bytes, hot_bytes)
     lists = got.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
@@ -275,12 +278,14 @@ def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot
                     removed += end - at
                     at = end
                 out.append(data[at:])
-                rows.append((b"".join(out), len(data), removed, n))
+                # Each stretch by itself: halves of two characters may not become a third one.
+                kept = "".join(x.decode("utf-8", "ignore") for x in out) if as_text else b"".join(out)
+                rows.append((kept, len(data), removed, n))
             yield part.drop(columns="_spans").reset_index(drop=True).join(pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"]))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     columns = [f.name for f in fields]
-    return joined.select(*columns, "_spans").mapInPandas(run, f"{types}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.select(*columns, "_spans").mapInPandas(run, f"{types}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -290,8 +295,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is kept as their text; bytes of a character that lost others go with them."""
-    got = remove(docs)
-    text = F.when(F.col("n_removed") > 0, F.expr("try_validate_utf8(decode(kept, 'UTF-8'))")).otherwise(F.col("text"))
+    got = remove(docs, as_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     got = got.withColumn("text", text)
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

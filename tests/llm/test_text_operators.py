@@ -130,6 +130,15 @@ def test_without_repeats_keeps_columns_and_rows(docs, rows):
     assert got.where("doc_id = 73").first().text == "one"
 
 
+def test_without_repeats_drops_split_characters(spark):
+    """Shared bytes end, or begin, within a letter; what is left of two letters doesn't become a third one."""
+    end, begin, both = (" ".join(f"{name}{k}" for k in range(80)) for name in ("end", "begin", "both"))
+    texts = [f"one {end}é 1", f"tw{end}è 2", f"ré{begin} 3", f"rĩ{begin}, 4", f"aé{both}é 5", f"cũ{both}è 6"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in repeats.without_repeats(docs).collect()}
+    assert got == dict(enumerate([("one  1", 6), ("tw 2", 4), ("r 3", 3), ("r, 4", 4), ("a 5", 3), ("c 6", 3)]))
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(1)
     for _ in range(200):
