@@ -14,6 +14,9 @@ cells differ, string by string; all of that is counting, spread over all workers
 
 Hashes of 64 bits (128 for segments) stand for bytes in these counts.
 
+Passages of a number of words, however short the words, are found in the same way: each word
+is replaced by six bytes of its hash, so that as many words are a string of fixed length.
+
 Null texts are empty and keep nothing; texts shorter than the length stay as they are.
 Repeated rows are documents that repeat each other.  Very long texts are taken in windows of
 eight megabytes, which changes nothing in the result.  Other columns are kept unless they
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +38,7 @@ from . import suffixes
 from .common import cut, pieces, small_batches, text_key
 
 GRAM, CELL = 32, 32
+WORDS, CODE = 51, 6  # least words of a passage, bytes of a word's code
 _BITS = 24  # of a place in a chunk
 CHUNK = 8_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -82,8 +87,35 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in list(zip(*found))[:4])
 
 
-def _laid(texts: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    own = [(t or "").encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _coder(words: bool) -> Callable[[str], bytes]:
+    """A text's bytes, or the codes of its words (what stands between white space of ASCII)."""
+    import xxhash
+
+    code = lru_cache(100_000)(lambda word: xxhash.xxh3_64_digest(word)[:CODE])
+    return (lambda text: b"".join(map(code, _bytes(text).split()))) if words else _bytes
+
+
+def _words_covered(data: bytes, spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first byte, end) of the whole words that spans of codes cover, with the white space between them."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans_):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    x = np.frombuffer(data, np.uint8)
+    word = np.r_[False, (x != 32) & ((x < 9) | (x > 13)), False]
+    first, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    # Codes of words beside a passage may begin or end alike, so what isn't a whole code at either end doesn't count.
+    return [(int(first[-(-a // CODE)]), int(end[b // CODE - 1])) for a, b in runs]
+
+
+def _laid(texts: pd.Series, coder: Callable[[str], bytes] = _bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    own = [coder(t or "") if isinstance(t, str) else b"" for t in texts]
     return own, np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64)
 
 
@@ -95,18 +127,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_key", text_key(F.col("text")))
 
 
-def _occurrences(docs: DataFrame, length: int) -> DataFrame:
+def _occurrences(docs: DataFrame, length: int, words: bool) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        coder = _coder(words)
         for part in pieces(frames, "text", 2_000_000):
-            _, data, bounds = _laid(part["text"])
+            _, data, bounds = _laid(part["text"], coder)
             doc, start, strings, anchor = segments(data, bounds, length)
             view = memoryview(data)
             content = _signed([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), (start + strings + length - 1).tolist())])
             yield pd.DataFrame({"doc": part["_doc"].to_numpy()[doc], "key": part["_key"].to_numpy()[doc], "start": start - bounds[doc], "strings": strings, "h": anchor, "s": content})
 
-    long_enough = docs.where(F.octet_length("text") >= length).select("_doc", "_key", "text")
+    least = length // CODE * 2 - 1 if words else length
+    long_enough = docs.where(F.octet_length("text") >= least).select("_doc", "_key", "text")
     return long_enough.mapInPandas(run, "doc long, key long, start long, strings long, h long, s long")
 
 
@@ -153,10 +187,10 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 SPAN = "doc long, key long, start long, end long"
 
 
-def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> DataFrame:
-    """(doc, key, start, end): bytes covered by repeated strings, of documents as of keyed()."""
+def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int, words: bool = False) -> DataFrame:
+    """(doc, key, start, end): bytes covered by repeated strings, of documents as of keyed().  words: bytes are those of the words' codes."""
     small_batches(docs.sparkSession)
-    found = cut(_occurrences(docs, length), "segments")
+    found = cut(_occurrences(docs, length, words), "segments")
     anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("mixed")).where("n > 1").select("h", "mixed"), "anchors")
     # An anchor that a third of the documents share has one row on the right; adaptive execution parts the left.
     shared = cut(found.join(anchors, "h"), "shared")
@@ -171,10 +205,11 @@ def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int) -> Dat
     if totals.bytes or totals.hot:
 
         def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            coder = _coder(words)
             for part in pieces(frames, "text", 2_000_000):
                 rows = []
                 for doc, key, text, needs in part.itertuples(index=False):
-                    data = text.encode("utf-8", "surrogatepass")
+                    data = coder(text)
                     rows += [(x["h"], x["s"], x["n"], doc, key, x["start"], data[x["start"] : x["start"] + x["strings"] + length - 1]) for x in needs]
                 yield pd.DataFrame(rows, columns=["h", "s", "n", "doc", "key", "start", "data"])
 
@@ -249,14 +284,18 @@ def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
     return both.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"))
 
 
-def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000, as_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000, as_text: bool = False, words: int = 0) -> DataFrame:
     """The documents with kept (bytes that no repeated string covers), n_bytes, n_removed and n_spans (maximal removed runs).
 
-    as_text: kept is a string, of the characters that lost no byte.
+    as_text: kept is a string, of the characters that lost no byte.  words: repeated passages of as many words are
+    removed too, whatever their bytes (0: none).
     """
     own = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
-    got = spans(own.select("_doc", "_key", "text"), length, shard_bytes, hot_bytes)
-    lists = got.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    texts = own.select("_doc", "_key", "text")
+    got = spans(texts, length, shard_bytes, hot_bytes).withColumn("coded", F.lit(False))
+    if words:
+        got = got.unionByName(spans(texts, words * CODE, shard_bytes, hot_bytes, words=True).withColumn("coded", F.lit(True)))
+    lists = got.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "end", "coded")).alias("_spans"))
     joined = own.join(lists, ["_doc", "_key"], "left").drop("_doc", "_key")
     fields = [f for f in own.schema if f.name not in ("_doc", "_key")]
 
@@ -264,9 +303,12 @@ def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot
         for part in pieces(frames, "text", 2_000_000):
             rows = []
             for text, spans_ in zip(part["text"], part["_spans"]):
-                data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+                data = _bytes(text) if isinstance(text, str) else b""
                 out, at, removed, n, end = [], 0, 0, 0, -1
-                for a, b in sorted((x["start"], x["end"]) for x in spans_) if spans_ is not None else ():
+                both: tuple[list, list] = ([], [])
+                for x in spans_ if spans_ is not None else ():
+                    both[x["coded"]].append((x["start"], x["end"]))
+                for a, b in sorted(both[0] + _words_covered(data, both[1]) if both[1] else both[0]):
                     if a > end:
                         if n:
                             removed += end - at
@@ -294,8 +336,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with what is kept as their text; bytes of a character that lost others go with them."""
-    got = remove(docs, as_text=True)
+    """The documents without repeated strings of 400 bytes and repeated passages of over 50 words; bytes of a character that lost others go with them."""
+    got = remove(docs, as_text=True, words=WORDS)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     got = got.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -139,6 +139,35 @@ def test_without_repeats_drops_split_characters(spark):
     assert got == dict(enumerate([("one  1", 6), ("tw 2", 4), ("r 3", 3), ("r, 4", 4), ("a 5", 3), ("c 6", 3)]))
 
 
+@pytest.mark.parametrize("hot", [10**9, 0])
+def test_removal_of_passages_by_words(spark, docs, rows, hot):
+    """Passages of 51 words of any length go, those of 50 stay; white space doesn't matter, and goes between words that go."""
+    letter = [f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+    some = [letter[:51], letter[9:59], [x + "é" for x in letter[:51]]]
+    more = [(100 + 10 * k + i, f"start{k}{i} {sep.join(p)}{sep}end{k}{i} more") for k, p in enumerate(some) for i, sep in enumerate((" ", " \n", " "))]
+    more += [(200, "x " * 51), (201, "y " * 50)]  # repeats itself only where 52 words are
+    every = [*rows, *more]
+    texts = [(t or "").encode() for _, t in every]
+    lists = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    runs = [[tuple(t[a:b] for a, b in at[i : i + 51]) for i in range(len(at) - 50)] for t, at in zip(texts, lists)]
+    seen_words = Counter(x for own in runs for x in own)
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = Counter()
+    for (doc, _), t, at, own in zip(every, texts, lists, runs):
+        gone = [False] * len(t)
+        hit = {k for i, x in enumerate(own) if seen_words[x] > 1 for k in range(i, i + 51)}
+        between = [(at[k][0], at[k + 1][0] if k + 1 in hit else at[k][1]) for k in hit]
+        for a, b in between + [(i, i + 400) for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1]:
+            gone[a:b] = [True] * (b - a)
+        want[doc, bytes(b for b, g in zip(t, gone) if not g)] += 1
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = Counter((r.doc_id, bytes(r.kept)) for r in repeats.remove(both, hot_bytes=hot, words=51).collect())
+    assert got == want
+    kept = {r.doc_id: r.text for r in repeats.without_repeats(both).where("doc_id BETWEEN 100 AND 199").collect()}
+    assert kept[100] == "start00  end00 more" and kept[101] == "start01  \nend01 more" and kept[122] == "start22  end22 more"
+    assert all(kept[i] == dict(more)[i] for i in (110, 111, 112))
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(1)
     for _ in range(200):
