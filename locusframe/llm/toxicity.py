@@ -85,6 +85,7 @@ def _ids(alphabet: str) -> np.ndarray:
 def subsequences(words: list[str], alphabet: str, decay: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of words of like length: their places in the list, slots (0: holds a character that no landmark has) and weights."""
     of = _ids(alphabet)
+    base = max(257, len(alphabet) + 1)
     sizes = np.array([len(w) for w in words])
     norms = _norms(decay)
     low = 0
@@ -101,7 +102,7 @@ def subsequences(words: list[str], alphabet: str, decay: float) -> Iterator[tupl
                 code, every = 0, True
                 for c in places:
                     got = chars[:, c : c + width - LENGTH + 1]
-                    code, every = code * 257 + got, every & (got > 0)
+                    code, every = code * base + got, every & (got > 0)
                 slots[k] = ((code * 0x1E3779B97F4A7C15 >> 40) & SLOTS - 1 | 1) * every
             weights = np.array([decay ** (p[-1] + 1 - LENGTH) for p in PATTERNS])[:, None, None] / norms[sizes[own]][None, :, None]
             yield own, slots, np.broadcast_to(weights, slots.shape)
@@ -204,7 +205,7 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
     clean = sorted(df[0], key=lambda x: (-df[0][x], x))
     marks = ranked[: landmarks * 3 // 4] + clean[: landmarks // 4]
     marks = list(dict.fromkeys(marks))
-    alphabet = "".join(sorted({c for x in marks for c in x}))[:250]
+    alphabet = "".join(sorted({c for x in marks for c in x}))
     model = Model(alphabet, np.zeros(SLOTS, np.float32), 0.0, decay, np.zeros(6), share)
     rows = np.zeros((1, len(marks)))
     place = np.zeros(SLOTS, np.int64)

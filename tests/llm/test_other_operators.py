@@ -139,6 +139,23 @@ def test_gapped_and_inserted_insults(spark):
     assert toxicity.units("a v o r q b") == ["avorqb"]
 
 
+def test_insults_in_a_large_script():
+    """Landmarks hold more than 250 characters, and the insults' are the last of them."""
+    rng = np.random.default_rng(1)
+    plain = ["".join(map(chr, rng.integers(0x4E00, 0x5600, rng.integers(5, 9)))) for _ in range(400)]
+    insults = ["".join(map(chr, rng.integers(0xC000, 0xC100, 5))) for _ in range(4)]
+    texts, labels = [], []
+    for i in range(300):
+        w = list(rng.choice(plain, 60))
+        if i % 5 == 0:
+            w[rng.integers(30)], w[30 + rng.integers(30)] = rng.choice(insults, 2)
+        texts.append(" ".join(w))
+        labels.append(int(i % 5 == 0))
+    model = toxicity.train(texts, labels, 0.2)
+    assert min(model.margins(insults)) > 0 > max(model.margins(plain))
+    assert len(model.alphabet) > 250
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     for own in (labels.limit(0), labels.where("toxic = 0")):
