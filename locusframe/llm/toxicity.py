@@ -2,7 +2,8 @@
 
 The kernel of two words counts their common subsequences of four characters, each weighted
 by decay ** (span - 4) in either word; spans up to six are counted, so that a character put
-into an insult, or left out, costs weight but doesn't hide it.  Words are mapped to Nyström
+into an insult, or left out, costs weight but doesn't hide it.  Words of fewer than four
+characters get marks at their ends, so that they have such subsequences too.  Words are mapped to Nyström
 features K(word, landmarks) K(landmarks, landmarks) ** -1/2.
 
 Training (labels hold for documents, not sentences) is multiple-instance: every sentence of
@@ -42,6 +43,7 @@ LENGTH, SPAN, WIDTH, SLOTS = 4, 6, 24, 1 << 20
 PATTERNS = [(0, *inner, s - 1) for s in range(LENGTH, SPAN + 1) for inner in combinations(range(1, s - 1), LENGTH - 2)]
 _SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)")
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”…"
+_START, _END = "\ufdd0", "\ufdd1"  # no characters of any text
 HELD_OUT, FOLDS = 2, 4
 
 
@@ -61,8 +63,10 @@ def units(text: str) -> list[str]:
 
 
 def windows(word: str) -> list[str]:
-    """Half-overlapping windows of a long word; nothing is left out."""
+    """Half-overlapping windows of a long word; nothing is left out.  A short word with its marks."""
     word = word.strip(_EDGES)
+    if 0 < len(word) < LENGTH:
+        return [_START * max(1, LENGTH - 1 - len(word)) + word + _END]
     return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
 
@@ -196,14 +200,19 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
     # Sentences, as lists of units; a clean document's are clean.
     docs = [[units(s) for s in _SENTENCE.split(t)] for t in texts]
     sets = [{x for s in d for u in s for x in windows(u) if len(x) >= LENGTH} for d in docs]
-    one = _one_of_copies(sets)
+    one = _one_of_copies([{x for x in s if x[0] != _START} or s for s in sets])
     df = (Counter(x for s, k, o in zip(sets, y, one) if o and not k for x in s), Counter(x for s, k, o in zip(sets, y, one) if o and k for x in s))
     n1, n0 = int((y & one).sum()), int((~y & one).sum())
     odds = {x: np.log((n + 0.2) / (n1 + 0.4) / (df[0][x] + 0.2) * (n0 + 0.4)) for x, n in df[1].items()}
     evidence = {x: _likelihood_ratio(n, df[0][x], n1, n0) if odds[x] > 0 else 0.0 for x, n in df[1].items()}
     ranked = sorted((x for x in odds if df[1][x] > 1 or n1 < 10), key=lambda x: (-evidence[x], x))
     clean = sorted(df[0], key=lambda x: (-df[0][x], x))
-    marks = ranked[: landmarks * 3 // 4] + clean[: landmarks // 4]
+
+    def of_each(words: list[str], n: int) -> list[str]:
+        """The first n long words and the first n short ones, which share no subsequence and don't compete."""
+        return [x for x in words if x[0] != _START][:n] + [x for x in words if x[0] == _START][:n]
+
+    marks = of_each(ranked, landmarks * 3 // 4) + of_each(clean, landmarks // 4)
     marks = list(dict.fromkeys(marks))
     alphabet = "".join(sorted({c for x in marks for c in x}))
     model = Model(alphabet, np.zeros(SLOTS, np.float32), 0.0, decay, np.zeros(6), share)
@@ -230,9 +239,9 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     # Instances: words of clean sentences, and the words by which toxic documents stand out.
-    negative = clean[:12_000]
+    negative, candidates = of_each(clean, 12_000), of_each(ranked, 4000)
     good = [x for x in ranked if odds[x] > np.log(4) and evidence[x] > 12][:1000] or ranked[:10]
-    phi = {x: v for x, v in zip(negative + ranked[:4000], np.c_[explicit(negative + ranked[:4000]) @ root, np.ones(len(negative) + len(ranked[:4000]))])}
+    phi = {x: v for x, v in zip(negative + candidates, np.c_[explicit(negative + candidates) @ root, np.ones(len(negative) + len(candidates))])}
     for _ in range(rounds):
         positive = [x for x in good if x in phi]
         if not positive:

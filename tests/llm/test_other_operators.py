@@ -156,6 +156,22 @@ def test_insults_in_a_large_script():
     assert len(model.alphabet) > 250
 
 
+def test_short_insults():
+    """Of one, two and three letters, beside ordinary words as short."""
+    rng = np.random.default_rng(2)
+    plain = [*"abcd", *("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(400))]
+    insults = ["w", "zq", "xvy"]
+    texts, labels = [], []
+    for i in range(300):
+        w = list(rng.choice(plain, 60))
+        if i % 5 == 0:
+            w[rng.integers(30)], w[30 + rng.integers(30)] = rng.choice(insults, 2)
+        texts.append(" ".join(w))
+        labels.append(int(i % 5 == 0))
+    model = toxicity.train(texts, labels, 0.2)
+    assert min(model.margins([*insults, "(zq)", "XVY!".lower()])) > 0 > max(model.margins([*plain, "", "..."]))
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     for own in (labels.limit(0), labels.where("toxic = 0")):
