@@ -40,11 +40,44 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go when the write that needed them is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder; a lost executor costs no recomputation."""
-    folder = work_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = work_folder(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.folder = folder
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made, once all that was read from them is a table itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.folder)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_evenly(left: DataFrame, right: DataFrame, keys: list[str], how: str, total: int) -> DataFrame:
+    """left joined with right, which has a row for each key and how often left has it (n), of ``total`` rows.
+
+    Keys of more than a ten-thousandth of all rows, ten thousand at most, are broadcast, so
+    that no task gets all rows of one.
+    """
+    most = max(1000, total // 10_000)
+    hot = right.where(F.col("n") > most)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col("n") <= most), keys, how)
+    return left.join(F.broadcast(hot), keys, how).unionByName(rest)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16MB") -> None:

@@ -117,6 +117,17 @@ class Encoder:
         return [b"".join(ids) for ids, _ in out]
 
 
+#: A worker's encoder outlives its tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def cuts(n: int, capacity: int, classes: int, slack: float) -> list[int]:
     """Lengths of the pieces of a document of n tokens."""
     out = [capacity] * (n // capacity)
@@ -161,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         from pyspark import TaskContext
 
         gc.disable()  # a million cached strings are no garbage, and there are no cycles
-        encode, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 33
+        encode, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 33
         open_bins: dict[int, list[tuple]] = {m: [] for m in range(1, classes + 1)}
         small_fill = 0
         rows: list[tuple] = []

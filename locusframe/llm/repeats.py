@@ -1,21 +1,23 @@
 """Removal of repeated byte strings by suffix arrays of shards.
 
-Every string of ``length`` bytes has an anchor: its 32-gram of smallest hash.  Equal strings
-have equal anchors at equal offsets, so strings need to be compared only where anchors are
-equal.  A run of strings with the same anchor is a segment; segments whose anchor stands
-nowhere else are done.  Equal segments are counted, not compared.  What is left, segments
-that share an anchor and differ, is gathered into shards by anchor; a shard's suffix array
-is built by induced sorting (suffixes.induced), and a string is repeated if its permuted
-common prefix with a neighbour in that order is as long as the string.
+Every string of ``length`` bytes has an anchor: its 32-gram of smallest hash, among those that
+begin with white space if it has any.  Equal strings have equal anchors at equal offsets, so
+strings need to be compared only where anchors are equal.  A run of strings with the same
+anchor is a segment; segments whose anchor stands nowhere else are done.  Equal segments are
+counted, not compared.  What is left, segments that share an anchor and differ, is gathered
+into shards by anchor; a shard's suffix array is built by induced sorting (suffixes.induced),
+and a string is repeated if its permuted common prefix with a neighbour in that order is as
+long as the string.
 
 An anchor whose differing segments exceed ``hot_bytes`` is no shard's: its strings are parted
 by the bytes that all strings of one cell of 32 offsets share, and where these agree but the
 cells differ, string by string; all of that is counting, spread over all workers.
 
-Hashes of 64 bits (128 for segments) stand for bytes in these counts.
+Segments are equal if their anchors' hashes and their own agree, 127 bits; cells and strings
+of hot anchors likewise.  In shards, bytes are compared.
 
-Passages of a number of words, however short the words, are found in the same way: each word
-is replaced by six bytes of its hash, so that as many words are a string of fixed length.
+Passages of a number of words, however short the words, are found in the same way, with the
+64-bit hash of a word for a byte.
 
 Null texts are empty and keep nothing; texts shorter than the length stay as they are.
 Repeated rows are documents that repeat each other.  Very long texts are taken in windows of
@@ -31,30 +33,44 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import cut, pieces, small_batches, text_key
+from .common import cut, drop, joined_evenly, pieces, small_batches, text_key
 
 GRAM, CELL = 32, 32
-WORDS, CODE = 51, 6  # least words of a passage, bytes of a word's code
+WORDS, WORD_GRAM = 51, 5  # least words of a passage, words of its anchor
 _BITS = 24  # of a place in a chunk
 CHUNK = 8_000_000
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 32 bytes from each place on."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * _M[0]
-    h ^= h >> np.uint64(31)
-    for k, size in enumerate((1, 2, 4, 8, 16), 1):
-        h = h[:-size] * _M[k] + h[size:]
-        h ^= h >> np.uint64(29)
-    h *= _M[0]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _M[0]
     return h ^ (h >> np.uint64(32))
 
 
+def byte_grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, an even one, of the 32 bytes from each place on."""
+    parts = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at].view("<u8")
+    h = np.zeros(len(at), np.uint64)
+    for k in range(4):
+        h = _mixed(h * _M[4] + parts[:, k] * _M[k + 1])
+    return h & ~np.uint64(1)
+
+
+def word_grams(codes: np.ndarray) -> np.ndarray:
+    """An odd hash of the five words from each one on."""
+    h = np.zeros(max(0, len(codes) - WORD_GRAM + 1), np.uint64)
+    for k in range(WORD_GRAM):
+        h = _mixed(h * _M[4] + codes[k : k + len(h)] * _M[1])
+    return h | np.uint64(1)
+
+
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of ``width`` values from each place on."""
     span = 1
@@ -64,59 +80,127 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(h: np.ndarray) -> np.ndarray:
+    """Hashes over their places, the first of equal ones least."""
+    return (h >> np.uint64(_BITS) << np.uint64(_BITS)) | np.arange(len(h), dtype=np.uint64)
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+
+
+_Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _runs_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, h: np.ndarray) -> _Segments:
+    """Segments from ranges of starts, in order: neighbouring ones of a document with the same anchor are one."""
+    if not len(doc):
+        return (np.zeros(0, np.int64),) * 4
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != end[:-1])])
+    last = np.r_[new[1:], len(doc)] - 1
+    return doc[new], start[new], end[last] - start[new], h[new]
+
+
+def byte_segments(data: np.ndarray, bounds: np.ndarray, length: int) -> _Segments:
     """(document, start in the data, strings, anchor) of each segment.  bounds: where documents begin, and the end."""
+    reach = length - GRAM
     found = []
     for at in range(0, max(1, len(data) - length + 1), CHUNK):
         part = data[at : at + CHUNK + length - 1]
+        n = len(part) - length + 1
+        if n <= 0:
+            break
+        space = _SPACE[part]
+        space[len(part) - GRAM + 1 :] = False
+        place = np.flatnonzero(space)
+        # Starts at which the grams in reach change, and those of documents.
+        change = np.zeros(n, bool)
+        change[0] = True
+        for p in (place + 1, place - reach, bounds[:-1] - at):
+            change[p[(p >= 0) & (p < n)]] = True
+        start = np.flatnonzero(change)
+        end = np.r_[start[1:], n]
+        doc = np.searchsorted(bounds, start + at, "right") - 1
+        end = np.minimum(end, bounds[doc + 1] - at - length + 1)
+        some = end > start
+        start, end, doc = start[some], end[some], doc[some]
+        count = np.r_[0, np.cumsum(space)]
+        low, high = count[start], count[start + reach + 1]
+        h = byte_grams(part, place)
+        tables = [_keys(h)]
+        widest = int((high - low).max(initial=0))
+        while 2 << (len(tables) - 1) <= widest:
+            x, span = tables[-1], 1 << (len(tables) - 1)
+            tables.append(np.r_[np.minimum(x[:-span], x[span:]), x[len(x) - span :]])
+        have = high > low
+        owner, anchor = np.full(len(start), -1), np.zeros(len(start), np.uint64)
+        level = np.zeros(len(start), np.int64)
+        level[have] = np.log2(high[have] - low[have]).astype(np.int64)
+        for k in range(len(tables)):
+            own = np.flatnonzero(have & (level == k))
+            if len(own):
+                which = _places(np.minimum(tables[k][low[own]], tables[k][high[own] - (1 << k)]))
+                owner[own], anchor[own] = place[which], h[which]
+        got = _runs_of(doc[have], start[have], end[have], owner[have], anchor[have])
+        found.append((got[0], got[1] + at, *got[2:]))
+        # Stretches without white space in reach: all grams count.
+        bare = _runs_of(doc[~have], start[~have], end[~have], owner[~have], anchor[~have])
+        for d, first, strings in zip(*(x.tolist() for x in bare[:3])):
+            h = byte_grams(part, np.arange(first, first + strings + reach))
+            owner = _places(_least(_keys(h), reach + 1))
+            begin = first + np.arange(strings)
+            got = _runs_of(np.full(strings, d), begin, begin + 1, owner, h[owner])
+            found.append((got[0], got[1] + at, *got[2:]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def word_segments(codes: np.ndarray, bounds: np.ndarray, length: int) -> _Segments:
+    """The same over words."""
+    found = []
+    for at in range(0, max(1, len(codes) - length + 1), CHUNK):
+        part = codes[at : at + CHUNK + length - 1]
         if len(part) < length:
             break
-        h = gram_hashes(part)
-        key = (h >> np.uint64(_BITS) << np.uint64(_BITS)) | np.arange(len(h), dtype=np.uint64)
-        owner = (_least(key, length - GRAM + 1) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        h = word_grams(part)
+        owner = _places(_least(_keys(h), length - WORD_GRAM + 1))
         start = np.arange(len(owner))
         doc = np.searchsorted(bounds, start + at, "right") - 1
         inside = start + at + length <= bounds[doc + 1]
-        start, owner, doc = start[inside], owner[inside], doc[inside]
-        if not len(start):
-            continue
-        new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
-        found.append((doc[new], start[new] + at, np.diff(np.r_[new, len(start)]), h[owner[new]].view(np.int64), owner[new] + at))
-    if not found:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in list(zip(*found))[:4])
+        got = _runs_of(doc[inside], start[inside], start[inside] + 1, owner[inside], h[owner[inside]])
+        found.append((got[0], got[1] + at, *got[2:]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _coder(words: bool) -> Callable[[str], bytes]:
-    """A text's bytes, or the codes of its words (what stands between white space of ASCII)."""
+@lru_cache(1)
+def _coder() -> Callable[[bytes], bytes]:
     import xxhash
 
-    code = lru_cache(100_000)(lambda word: xxhash.xxh3_64_digest(word)[:CODE])
-    return (lambda text: b"".join(map(code, _bytes(text).split()))) if words else _bytes
+    return lru_cache(100_000)(xxhash.xxh3_64_digest)
+
 
+def word_codes(data: bytes) -> bytes:
+    """Eight bytes for each word (what stands between white space of ASCII)."""
+    return b"".join(map(_coder(), data.split()))
 
-def _words_covered(data: bytes, spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first byte, end) of the whole words that spans of codes cover, with the white space between them."""
+
+def _word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, np.uint8)
+    word = np.r_[False, ~_SPACE[x], False]
+    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+
+
+def _merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
     runs: list[list[int]] = []
     for a, b in sorted(spans_):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(b, runs[-1][1])
         else:
             runs.append([a, b])
-    x = np.frombuffer(data, np.uint8)
-    word = np.r_[False, (x != 32) & ((x < 9) | (x > 13)), False]
-    first, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
-    # Codes of words beside a passage may begin or end alike, so what isn't a whole code at either end doesn't count.
-    return [(int(first[-(-a // CODE)]), int(end[b // CODE - 1])) for a, b in runs]
-
-
-def _laid(texts: pd.Series, coder: Callable[[str], bytes] = _bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    own = [coder(t or "") if isinstance(t, str) else b"" for t in texts]
-    return own, np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int64)
+    return [(a, b) for a, b in runs]
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -127,53 +211,87 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_key", text_key(F.col("text")))
 
 
-def _occurrences(docs: DataFrame, length: int, words: bool) -> DataFrame:
+def _occurrences(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """(doc, key, start, strings, h, s) of all segments; h is even for bytes and odd for words."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        coder = _coder(words)
+        hashed = xxhash.xxh3_64_intdigest
         for part in pieces(frames, "text", 2_000_000):
-            _, data, bounds = _laid(part["text"], coder)
-            doc, start, strings, anchor = segments(data, bounds, length)
-            view = memoryview(data)
-            content = _signed([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), (start + strings + length - 1).tolist())])
-            yield pd.DataFrame({"doc": part["_doc"].to_numpy()[doc], "key": part["_key"].to_numpy()[doc], "start": start - bounds[doc], "strings": strings, "h": anchor, "s": content})
-
-    least = length // CODE * 2 - 1 if words else length
+            own = [_bytes(t) for t in part["text"]]
+            kinds = [(own, np.uint8, length, byte_segments)]
+            if words:
+                kinds.append(([word_codes(x) for x in own], np.uint64, words, word_segments))
+            for texts, unit, n, segments in kinds:
+                size = np.dtype(unit).itemsize
+                data = np.frombuffer(b"".join(texts), unit)
+                bounds = np.r_[0, np.cumsum([len(x) // size for x in texts])].astype(np.int64)
+                doc, start, strings, anchor = segments(data, bounds, n)
+                view = memoryview(data).cast("B")
+                content = _signed([hashed(view[a:b]) for a, b in zip((start * size).tolist(), ((start + strings + (n - 1)) * size).tolist())])
+                yield pd.DataFrame({"doc": part["_doc"].to_numpy()[doc], "key": part["_key"].to_numpy()[doc], "start": start - bounds[doc], "strings": strings, "h": anchor.view(np.int64), "s": content})
+
+    least = min(length, 2 * words - 1) if words else length
     long_enough = docs.where(F.octet_length("text") >= least).select("_doc", "_key", "text")
     return long_enough.mapInPandas(run, "doc long, key long, start long, strings long, h long, s long")
 
 
-def _fetch(docs: DataFrame, needed: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """run over (text, needs: the rows that ``needed`` has for the document), spread by document."""
-    fields = [c for c in needed.columns if c not in ("doc", "key")]
+def _fetched(docs: DataFrame, needed: DataFrame, length: int, words: int) -> DataFrame:
+    """needed (h, s, n, doc, key, start, strings) with the bytes, or codes of words, of each segment; texts are read once."""
+    fields = ["h", "s", "n", "start", "strings"]
     lists = needed.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct(*fields)).alias("needs"))
-    return docs.select("_doc", "_key", "text").join(lists, ["_doc", "_key"]).mapInPandas(run, schema)
-
 
-def repeated(segments_: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        got: list[bytes] = []
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*parts)] + [pa.array(got, pa.binary())]
+            out = pa.RecordBatch.from_arrays(columns, ["h", "s", "n", "doc", "key", "start", "data"])
+            parts.clear()
+            got.clear()
+            return out
+
+        for batch in batches:
+            needs, texts = batch.column("needs"), batch.column("text")
+            ends, rows = needs.offsets.to_numpy(), needs.values
+            columns = [rows.field(c).to_numpy(zero_copy_only=False) for c in fields]
+            docs_, keys = batch.column("_doc").to_pylist(), batch.column("_key").to_pylist()
+            for i, (doc, key) in enumerate(zip(docs_, keys)):
+                h, s, n, start, strings = (x[ends[i] : ends[i + 1]] for x in columns)
+                data, odds = _bytes(texts[i].as_py()), (h & 1).tolist()
+                codes = word_codes(data) if any(odds) else b""
+                own = [codes[8 * a : 8 * (b + words - 1)] if odd else data[a : b + length - 1] for odd, a, b in zip(odds, start.tolist(), (start + strings).tolist())]
+                got += own
+                parts.append((h, s, n, np.full(len(h), doc), np.full(len(h), key), start))
+                size += sum(map(len, own))
+                if size > 4_000_000:
+                    size = 0
+                    yield batch_of()
+        if parts:
+            yield batch_of()
+
+    return docs.select("_doc", "_key", "text").join(lists, ["_doc", "_key"]).mapInArrow(run, "h long, s long, n long, doc long, key long, start long, data binary")
+
+
+def repeated(segments_: list[np.ndarray], weights: list[int], length: int) -> list[np.ndarray]:
     """For each segment, the starts of its strings that some segment has once more; a segment of weight over 1 stands for several."""
-    starts = np.r_[0, np.cumsum([len(x) + 1 for x in segments_])].astype(np.int64)
-    text = np.ones(starts[-1] + 1, np.int32)
+    size = np.array([len(x) for x in segments_])
+    starts = np.r_[0, np.cumsum(size + 1)].astype(np.int64)
+    own = np.concatenate(segments_)
+    symbols = own.astype(np.int32) if own.dtype == np.uint8 else np.unique(own, return_inverse=True)[1]
+    text = np.ones(starts[-1] + 1, np.uint16 if symbols.max(initial=0) < 65_000 else np.int32)
     text[-1] = 0
-    for x, at in zip(segments_, starts):
-        text[at : at + len(x)] = np.frombuffer(x, np.uint8).astype(np.int32) + 2
-    order = suffixes.induced(text, length).astype(np.int64)
-    segment = np.searchsorted(starts, order, "right") - 1
-    whole = (segment < len(segments_)) & (order + length < starts[np.minimum(segment + 1, len(segments_))])
-    # Neighbours in order, both with whole strings, whose common prefix is as long.
-    prefix = suffixes.prefix_hashes(text)
-    value = np.zeros(len(order), np.uint64)
-    value[whole] = suffixes.substring_hashes(prefix, order[whole], length)
-    same = whole[1:] & whole[:-1] & (value[1:] == value[:-1])
-    hit = np.r_[same, False] | np.r_[False, same]
-    rows = np.flatnonzero(hit)
-    out = [np.arange(len(x) - length + 1) if w > 1 else None for x, w in zip(segments_, weights)]
-    own, at = segment[rows], order[rows]
-    by = np.lexsort((at, own))
-    own, at = own[by], at[by]
-    first = np.searchsorted(own, np.arange(len(segments_) + 1))
-    return [o if o is not None else at[first[i] : first[i + 1]] - starts[i] for i, o in enumerate(out)]
+    text[np.arange(len(own)) + np.repeat(np.arange(len(size)), size)] = symbols + 2
+    prefix, before = suffixes.common_prefixes(text, suffixes.induced(text))
+    # Where as much is common, neither string crosses the end of its segment: whole ones only are asked for.
+    ends = np.repeat(starts[1:] - 1, size + 1)
+    rows = np.flatnonzero((prefix[:-1] >= length) & (np.arange(len(text) - 1) + length <= ends))
+    hit = np.zeros(len(text), bool)
+    hit[rows] = hit[before[rows]] = True
+    return [np.arange(n - length + 1) if w > 1 else np.flatnonzero(hit[a : a + n]) for n, w, a in zip(size.tolist(), weights, starts.tolist())]
 
 
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -184,59 +302,71 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(starts[new], starts[np.r_[new[1:] - 1, len(starts) - 1]])]
 
 
-SPAN = "doc long, key long, start long, end long"
+SPAN = "doc long, key long, start long, end long, odd boolean"
 
 
-def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int, words: bool = False) -> DataFrame:
-    """(doc, key, start, end): bytes covered by repeated strings, of documents as of keyed().  words: bytes are those of the words' codes."""
-    small_batches(docs.sparkSession)
+def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int, words: int = 0) -> DataFrame:
+    """(doc, key, start, end, odd): what repeated strings cover, of documents as of keyed(): bytes, or (odd) words."""
+    spark = docs.sparkSession
+    small_batches(spark)
     found = cut(_occurrences(docs, length, words), "segments")
-    anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("mixed")).where("n > 1").select("h", "mixed"), "anchors")
-    # An anchor that a third of the documents share has one row on the right; adaptive execution parts the left.
-    shared = cut(found.join(anchors, "h"), "shared")
-    whole = [shared.where("NOT mixed")]
+    total = found.count()
+    anchors = cut(found.groupBy("h").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("mixed")).where("n > 1"), "anchors")
+    shared = cut(joined_evenly(found, anchors, ["h"], "inner", total).drop("n"), "shared")
+    drop(found, anchors)
+    odd = (F.col("h") % 2 != 0).alias("odd")
+    reach = F.col("start") + F.col("strings") + F.when(F.col("h") % 2 != 0, words - 1).otherwise(length - 1)
+    covered = ["doc", "key", "start", reach.alias("end"), odd]
+    out = [shared.where("NOT mixed").select(*covered)]
     mixed = shared.where("mixed").drop("mixed")
     first = F.min(F.struct("doc", "key", "start", "strings"))
     distinct = cut(mixed.groupBy("h", "s").agg(F.count("*").alias("n"), first.alias("at")).select("h", "s", "n", "at.*"), "distinct")
-    whole.append(mixed.join(distinct.where("n > 1").select("h", "s"), ["h", "s"], "left_semi"))
-    sizes = distinct.groupBy("h").agg(F.sum(F.col("strings") + length).alias("bytes"))
+    several = distinct.where("n > 1").select("h", "s", "n")
+    out.append(joined_evenly(mixed, several, ["h", "s"], "left_semi", total).select(*covered))
+    used = [shared, distinct]
+    weight = F.when(F.col("h") % 2 != 0, 8 * (F.col("strings") + words)).otherwise(F.col("strings") + length)
+    sizes = distinct.groupBy("h").agg(F.sum(weight).alias("bytes"))
     totals = sizes.agg(F.sum(F.when(F.col("bytes") <= hot_bytes, F.col("bytes"))).alias("bytes"), F.count(F.when(F.col("bytes") > hot_bytes, 1)).alias("hot")).first()
-    out = [w.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end")) for w in whole]
     if totals.bytes or totals.hot:
 
-        def take(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            coder = _coder(words)
-            for part in pieces(frames, "text", 2_000_000):
-                rows = []
-                for doc, key, text, needs in part.itertuples(index=False):
-                    data = coder(text)
-                    rows += [(x["h"], x["s"], x["n"], doc, key, x["start"], data[x["start"] : x["start"] + x["strings"] + length - 1]) for x in needs]
-                yield pd.DataFrame(rows, columns=["h", "s", "n", "doc", "key", "start", "data"])
-
         def order(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.drop_duplicates(["h", "s"])
-            got = repeated([bytes(x) for x in frame["data"]], frame["n"].tolist(), length)
-            rows = [(doc, key, start + a, start + b) for doc, key, start, n, at in zip(frame["doc"], frame["key"], frame["start"], frame["n"], got) if n == 1 for a, b in _runs(at, length)]
-            return pd.DataFrame(rows, columns=["doc", "key", "start", "end"])
-
-        # Texts are read once more, for the bytes of one segment of each kind; all that follows works on these.
-        data = _fetch(docs, distinct, take, "h long, s long, n long, doc long, key long, start long, data binary")
+            rows = []
+            for odd, own in frame.groupby(frame["h"] & 1):
+                n = words if odd else length
+                got = repeated([np.frombuffer(x, np.uint64 if odd else np.uint8) for x in own["data"]], own["n"].tolist(), n)
+                for doc, key, start, copies, at in zip(own["doc"], own["key"], own["start"], own["n"], got):
+                    if copies == 1:
+                        rows += [(doc, key, start + a, start + b, bool(odd)) for a, b in _runs(at, n)]
+            return pd.DataFrame(rows, columns=["doc", "key", "start", "end", "odd"])
+
+        data = _fetched(docs, distinct, length, words)
         ordinary = data
         if totals.hot:
             data = cut(data, "bytes")
             hot = cut(sizes.where(F.col("bytes") > hot_bytes).select("h"), "hot")
-            out.append(_hot_spans(data.join(hot, "h", "left_semi"), length))
+            used += [data, hot]
+            hot_data = data.join(hot, "h", "left_semi")
+            for odd_, n in ((0, length), (1, words)):
+                if n:
+                    out.append(_hot_spans(hot_data.where(F.abs(F.col("h") % 2) == odd_), n, bool(odd_), used))
             ordinary = data.join(hot, "h", "left_anti")
         n_shards = max(1, math.ceil((totals.bytes or 0) / shard_bytes))
         out.append(ordinary.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards))).groupBy("shard").applyInPandas(order, SPAN))
     spans_ = out[0]
     for x in out[1:]:
         spans_ = spans_.unionByName(x)
-    return spans_
+    got = cut(spans_, "spans")
+    drop(*used)
+    return got
 
 
-def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
+def _hot_spans(segments_: DataFrame, length: int, odd: bool, used: list[DataFrame]) -> DataFrame:
     """Spans in the segments of anchors with too many different ones for a shard: by counting cells, then strings."""
+    unit = 8 if odd else 1
+
+    def grams(data: bytes) -> np.ndarray:
+        return word_grams(np.frombuffer(data, np.uint64)) if odd else byte_grams(np.frombuffer(data, np.uint8), np.arange(len(data) - GRAM + 1))
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -245,15 +375,14 @@ def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
         for part in frames:
             rows = []
             for h, n, doc, key, low, data in part[["h", "n", "doc", "key", "start", "data"]].itertuples(index=False):
-                data = bytes(data)
-                strings = len(data) - length + 1
-                anchor = int(np.flatnonzero(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == h)[0])
+                strings = len(data) // unit - length + 1
+                anchor = int(np.flatnonzero(grams(data).view(np.int64) == h)[0])
                 at = 0
                 while at < strings:
                     cell = (anchor - at) // CELL
                     end = min(strings, anchor - cell * CELL + 1)  # strings whose anchor is at offsets of this cell
-                    core = data[anchor - cell * CELL : anchor - (cell + 1) * CELL + 1 + length]
-                    keys = (hashed(core, seed=cell) ^ (h & (1 << 64) - 1), hashed(data[at : end + length - 1], seed=anchor - at))
+                    core = data[unit * (anchor - cell * CELL) : unit * max(0, anchor - (cell + 1) * CELL + 1 + length)]
+                    keys = (hashed(core, seed=cell) ^ (h & (1 << 64) - 1), hashed(data[unit * at : unit * (end + length - 1)], seed=anchor - at))
                     rows.append((doc, key, low, low + at, end - at, n, *(v - (1 << 64) if v >> 63 else v for v in keys)))
                     at = end
             yield pd.DataFrame(rows, columns=["doc", "key", "segment", "start", "strings", "n", "core", "cell"])
@@ -264,38 +393,39 @@ def _hot_spans(segments_: DataFrame, length: int) -> DataFrame:
         for part in frames:
             rows = []
             for doc, key, segment, start, n_strings, n, data in part[["doc", "key", "segment", "start", "strings", "n", "data"]].itertuples(index=False):
-                data, low = bytes(data), start - segment
-                rows += [(doc, key, start + k, n, xxhash.xxh3_128_digest(data[low + k : low + k + length])) for k in range(n_strings)]
+                low = start - segment
+                rows += [(doc, key, start + k, n, xxhash.xxh3_128_digest(data[unit * (low + k) : unit * (low + k + length)])) for k in range(n_strings)]
             yield pd.DataFrame(rows, columns=["doc", "key", "start", "n", "string"])
 
     schema = "doc long, key long, segment long, start long, strings long, n long, core long, cell long"
     parts = cut(segments_.mapInPandas(cells, schema).dropDuplicates(["doc", "key", "start"]), "cells")
     by_cell = parts.groupBy("core", "cell").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "key", "segment", "start", "strings")).alias("at"))
     by_cell = cut(by_cell.select("core", "cell", "n", "at.*"), "by-cell")
-    whole = parts.join(by_cell.where("n > 1").select("core", "cell"), ["core", "cell"], "left_semi")
-    open_cores = by_cell.groupBy("core").agg((F.min("cell") != F.max("cell")).alias("mixed")).where("mixed").select("core")
-    left = by_cell.join(cut(open_cores, "cores"), "core", "left_semi").select("doc", "key", "segment", "start", "strings", "n")
+    total = parts.count()
+    whole = joined_evenly(parts.drop("n"), by_cell.where("n > 1").select("core", "cell", "n"), ["core", "cell"], "left_semi", total)
+    open_cores = by_cell.groupBy("core").agg(F.count("*").alias("n"), (F.min("cell") != F.max("cell")).alias("mixed")).where("mixed").select("core", "n")
+    cores = cut(open_cores, "cores")
+    left = joined_evenly(by_cell.withColumnRenamed("n", "copies"), cores, ["core"], "left_semi", total).select("doc", "key", "segment", "start", "strings", F.col("copies").alias("n"))
     held = segments_.select("doc", "key", F.col("start").alias("segment"), "data")
     each = left.join(held, ["doc", "key", "segment"]).mapInPandas(strings, "doc long, key long, start long, n long, string binary")
     each = cut(each.dropDuplicates(["doc", "key", "start"]), "strings")
-    twice = cut(each.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string"), "twice")
-    single = each.join(twice, "string", "left_semi").withColumn("strings", F.lit(1))
+    twice = cut(each.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1"), "twice")
+    used += [parts, by_cell, cores, each, twice]
+    single = joined_evenly(each.drop("n"), twice, ["string"], "left_semi", each.count()).withColumn("strings", F.lit(1))
     both = whole.select("doc", "key", "start", "strings").unionByName(single.select("doc", "key", "start", "strings"))
-    return both.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"))
+    return both.select("doc", "key", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("end"), F.lit(odd).alias("odd"))
 
 
-def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000, as_text: bool = False, words: int = 0) -> DataFrame:
-    """The documents with kept (bytes that no repeated string covers), n_bytes, n_removed and n_spans (maximal removed runs).
+def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot_bytes: int = 2_000_000, as_text: bool = False, words: int = 0, keep_words: bool = False) -> DataFrame:
+    """The documents with kept (bytes that no repeated string covers), n_bytes, n_removed, n_spans (maximal removed runs), n_passages and n_passage_words.
 
-    as_text: kept is a string, of the characters that lost no byte.  words: repeated passages of as many words are
-    removed too, whatever their bytes (0: none).
+    as_text: kept is a string, of the characters that lost no byte.  words: repeated passages
+    of as many words are found too, whatever their bytes (0: none); these are counted in the
+    last two columns, and removed unless keep_words.
     """
-    own = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
-    texts = own.select("_doc", "_key", "text")
-    got = spans(texts, length, shard_bytes, hot_bytes).withColumn("coded", F.lit(False))
-    if words:
-        got = got.unionByName(spans(texts, words * CODE, shard_bytes, hot_bytes, words=True).withColumn("coded", F.lit(True)))
-    lists = got.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "end", "coded")).alias("_spans"))
+    own = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words"))
+    got = spans(own.select("_doc", "_key", "text"), length, shard_bytes, hot_bytes, words)
+    lists = got.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "end", "odd")).alias("_spans"))
     joined = own.join(lists, ["_doc", "_key"], "left").drop("_doc", "_key")
     fields = [f for f in own.schema if f.name not in ("_doc", "_key")]
 
@@ -304,35 +434,36 @@ def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot
             rows = []
             for text, spans_ in zip(part["text"], part["_spans"]):
                 data = _bytes(text) if isinstance(text, str) else b""
-                out, at, removed, n, end = [], 0, 0, 0, -1
                 both: tuple[list, list] = ([], [])
                 for x in spans_ if spans_ is not None else ():
-                    both[x["coded"]].append((x["start"], x["end"]))
-                for a, b in sorted(both[0] + _words_covered(data, both[1]) if both[1] else both[0]):
-                    if a > end:
-                        if n:
-                            removed += end - at
-                            at = end
-                        out.append(data[at:a])
-                        at, n = a, n + 1
-                    end = max(end, b)
-                if n:
-                    removed += end - at
-                    at = end
+                    both[x["odd"]].append((x["start"], x["end"]))
+                passages = _merged(both[1])
+                gone = both[0]
+                if passages and not keep_words:
+                    first, end = _word_bounds(data)
+                    gone = gone + [(int(first[a]), int(end[b - 1])) for a, b in passages]
+                out, at, removed = [], 0, 0
+                gone = _merged(gone)
+                for a, b in gone:
+                    out.append(data[at:a])
+                    removed += b - a
+                    at = b
                 out.append(data[at:])
                 # Each stretch by itself: halves of two characters may not become a third one.
                 kept = "".join(x.decode("utf-8", "ignore") for x in out) if as_text else b"".join(out)
-                rows.append((kept, len(data), removed, n))
-            yield part.drop(columns="_spans").reset_index(drop=True).join(pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"]))
+                rows.append((kept, len(data), removed, len(gone), len(passages), sum(b - a for a, b in passages)))
+            yield part.drop(columns="_spans").reset_index(drop=True).join(pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words"]))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     columns = [f.name for f in fields]
-    return joined.select(*columns, "_spans").mapInPandas(run, f"{types}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    counts = "n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long"
+    return joined.select(*columns, "_spans").mapInPandas(run, f"{types}, kept {'string' if as_text else 'binary'}, {counts}")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    got = remove(docs.select("doc_id", "text"))
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The fixed columns tell of strings of 400 bytes; n_passages and n_passage_words of repeated passages of over 50 words, which stay."""
+    got = remove(docs.select("doc_id", "text"), words=WORDS, keep_words=True)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

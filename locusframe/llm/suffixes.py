@@ -1,12 +1,18 @@
-"""Suffix arrays with numpy: induced sorting for small alphabets, rank doubling for large ones."""
+"""Suffix arrays by induced sorting and their permuted common prefixes, with numpy.
+
+Texts are arrays of small non-negative integers whose last is 0 and the only 0.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Up to this many names are sorted by recursion; beyond, buckets are too small for waves, and ranks are doubled.
+SYMBOLS = 2000
+
 
 def by_doubling(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffix array; only suffixes whose order is open are sorted again.  depth: symbols that need to be in order."""
+    """The suffix array by rank doubling; only suffixes whose order is open are sorted again.  depth: symbols that need to be in order."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(rank, kind="stable")
@@ -44,12 +50,16 @@ def _smaller(text: np.ndarray) -> np.ndarray:
 
 def _place(suffixes: np.ndarray, keys: np.ndarray, sa: np.ndarray, ends: np.ndarray, step: int) -> None:
     """Puts suffixes, in their order, at the ends of their buckets, which move by ``step``."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys, suffixes = keys[order], suffixes[order]
-    count = np.bincount(keys, minlength=len(ends))
-    nth = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
-    sa[ends[keys] + step * nth] = suffixes
-    ends += step * count
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    count = np.diff(np.r_[start, len(keys)])
+    own = keys[start]
+    nth = np.arange(len(keys)) - np.repeat(start, count)
+    sa[np.repeat(ends[own], count) + step * nth] = suffixes
+    ends[own] += step * count
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -97,40 +107,79 @@ def _induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, first: np.
     return sa
 
 
-def induced(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array, in order for ``depth`` symbols, of a text of small non-negative integers whose last is 0 and the only 0."""
+def _named(text: np.ndarray, in_order: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Names of sorted substrings: equal ones, symbol by symbol, have the same."""
+    size = length[in_order]
+    alike = np.flatnonzero(size[1:] == size[:-1]) + 1
+    new = np.ones(len(in_order), bool)
+    new[0] = False
+    if len(alike):
+        n = size[alike]
+        start = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(start, n)
+        same = text[np.repeat(in_order[alike], n) + within] == text[np.repeat(in_order[alike - 1], n) + within]
+        new[alike] = ~np.logical_and.reduceat(same, start)
+    return np.cumsum(new)
+
+
+def induced(text: np.ndarray) -> np.ndarray:
+    """The suffix array: leftmost-smaller substrings are sorted by inducing, their names by recursion, and all suffixes are induced from these."""
+    if text.max(initial=0) >= SYMBOLS:
+        return by_doubling(text)
     n = len(text)
     if n < 3:
         return np.arange(n)[::-1]
     smaller = _smaller(text)
     size = np.bincount(text)
     first = np.cumsum(size) - size
+    text = text.astype(np.uint16)  # sorted by digits
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    if not len(leftmost):
-        leftmost = np.array([n - 1])
-    # The last symbol's suffix is first among all: it is smaller, and its bucket has no other.
     sa = _induce(text, smaller, leftmost, first, size)
     is_left = np.zeros(n, bool)
     is_left[leftmost] = True
-    in_order = sa[is_left[np.maximum(sa, 0)] & (sa >= 0)]
-    # Names: equal substrings up to the next leftmost-smaller place have equal names.
-    follow = np.r_[leftmost[1:], n - 1]
+    in_order = sa[is_left[sa]]
     length = np.zeros(n, np.int64)
-    length[leftmost] = follow - leftmost + 1
-    prefix = prefix_hashes(text)
-    value = substring_hashes(prefix, in_order, length[in_order])
-    new = np.r_[False, (value[1:] != value[:-1]) | (length[in_order][1:] != length[in_order][:-1])]
-    names = np.zeros(n, np.int64)
-    names[in_order] = np.cumsum(new)
-    reduced = names[leftmost]
-    if new[1:].all():
+    length[leftmost] = np.r_[leftmost[1:], n - 1] - leftmost + 1
+    by_order = _named(text, in_order, length)
+    if by_order[-1] == len(in_order) - 1:
         sorted_left = in_order
     else:
-        # Every name stands for two symbols at least.
-        sorted_left = leftmost[by_doubling(reduced, depth // 2 + 2) if reduced.max() > 2000 else induced(np.r_[reduced[:-1] + 1, 0], depth // 2 + 2)]
+        names = np.zeros(n, np.int64)
+        names[in_order] = by_order
+        sorted_left = leftmost[induced(names[leftmost])]
     return _induce(text, smaller, sorted_left, first, size)
 
 
+def common_prefixes(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(for each place, the length that its suffix has in common with the one before it in order; that one's place, -1 for the first).
+
+    Permuted: in order of the text.  Where the symbols before both agree, the length is one
+    less than that of the place before; elsewhere symbols are compared.
+    """
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    open_ = before <= 0
+    open_[1:] |= text[:-1] != text[before[1:] - 1]
+    open_[0] = True
+    length, padded = np.zeros(n, np.int64), np.r_[text, np.zeros(64, text.dtype)]
+    every = np.flatnonzero(open_ & (before >= 0))
+    for k in range(0, len(every), 100_000):
+        own, done, width = every[k : k + 100_000], 0, 8
+        a, b = own, before[own]
+        while len(own):
+            view = np.lib.stride_tricks.sliding_window_view(padded, width)
+            differs = view[a + done] != view[b + done]
+            at = differs.argmax(1)
+            ended = differs[np.arange(len(at)), at]
+            length[own[ended]] = done + at[ended]
+            own, a, b = own[~ended], a[~ended], b[~ended]
+            done, width = done + width, min(64, width * 2)
+    place = np.arange(n)
+    source = np.maximum.accumulate(np.where(open_, place, 0))
+    return np.maximum(length[source] - (place - source), 0), before
+
+
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _POWERS = np.ones(1, np.uint64)
 
