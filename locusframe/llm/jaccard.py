@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of word-shingle sets by prefix trees.
 
-1. Equal sets are one class.  A quarter of all shingles, chosen by hash, is counted: if more
-   than a fifth of a class's size are shingles that no other class has, it has no partner.  The classes left are tested so again, with all their shingles.
+1. Equal sets are one class.  A quarter of all shingles, chosen by hash, is looked at: if more
+   than a fifth of a class's size are shingles that no other class has, it has no partner.
+   The classes left are tested so again, with all their shingles.
 2. The classes left are ordered alike: shingles by how frequent they are (a sketch of fixed
    size over all classes tells), then by hash.  Two sets of Jaccard 0.8 share a shingle
    among their first n - ceil(0.8 n) + 1; classes that share one are in one neighbourhood.
@@ -10,19 +11,24 @@
    its overlap, and subtrees are left where overlap, what remains and the sizes can't reach
    the threshold, or where all sets are linked already.
 
-A neighbourhood beyond ``block`` classes is parted by set size into blocks, and pairs of
-blocks of like sizes are worked on apart; their links are joined by contraction.  Links are
+Small neighbourhoods are worked on together, up to about ``weight`` shingles.  A neighbourhood
+beyond ``block`` classes or ``weight`` shingles is parted by set size and hash into blocks of
+that weight.  Blocks are joined inside first; one member of each block's largest component
+then meets those of the other blocks; and what is still outside the neighbourhood's largest
+component meets every block of like sizes.  So a group of near copies, however large, costs
+in proportion to its size, and no pair is left out that could join two components.  Links are
 decided by whole sets of 64-bit shingle hashes; nothing is dropped or capped.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing;
 fewer words than ``k`` are one shingle.  Repeated rows are of one class.  A null doc_id is
-never the smallest of a component that has others.  Other columns are ignored.  An empty
-table gives no rows.
+never the smallest of a component that has others.  A very long text is one set, in memory
+while it is worked on.  Other columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, cut, pieces, small_batches, text_key
+from .common import LOWERING, cut, drop, pieces, small_batches, text_key
 from .suffixes import prefix_hashes, substring_hashes
 
 K = 5
@@ -283,29 +289,98 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInPandas(run, "doc_id long, key long, n long, cls long")
 
 
-def _sampled(docs: DataFrame, k: int, sample: int) -> DataFrame:
-    """(h, cls): every ``sample``-th shingle of the hashes' range, once for each class and worker at most twice."""
+def _packed(texts: list[str | None]) -> list[bytes]:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=1)
+    return [packer.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+
+
+def _unpacked(frames: Iterator[pd.DataFrame], most: int = 2_000_000) -> Iterator[tuple[pd.DataFrame, list[str]]]:
+    """Batches of packed texts (z; n shingles), in slices of about ``most`` characters."""
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
+    for frame in frames:
+        for _, part in frame.groupby(frame["n"].to_numpy("float64").cumsum() * 8 // most, sort=False):
+            yield part, [unpacker.decompress(z).decode("utf-8", "surrogatepass") for z in part["z"]]
+
+
+def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[str | None]]]:
+    for part in pieces(frames, "text", 2_000_000):
+        yield part, part["text"].tolist()
+
+
+def _planes(h: np.ndarray) -> bytes:
+    """Sorted hashes without their last 16 bits, byte by byte, so that the first bytes pack well."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8).reshape(6, -1)
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, :6] = x.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _alone(texts: DataFrame, batches, k: int, sample: int, total: int, most: int = 3_000_000) -> DataFrame:
+    """(cls, u): how many (of a ``sample``-th) of a class's shingles no other class has.
+
+    A worker hands on, for each part of the hashes' range, packed arrays of hashes and classes;
+    of a shingle that several of its classes have, only two.  total: shingles of all classes;
+    most: in a part.
+    """
+    parts = max(1, math.ceil(total / sample / most))
+
+    def hand_on(h: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        first = np.r_[True, h[1:] != h[:-1]]
+        last = np.r_[first[1:], True]
+        kept = first | (last & (c != c[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]))
+        h, c = h[kept], c[kept]
+        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+        rows = [(i, _planes(h[a:b]), c[a:b].tobytes()) for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())) if b > a]
+        return pd.DataFrame(rows, columns=["part", "h", "c"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for part in pieces(frames, "text", 2_000_000):
-            hashes, bounds = shingle_sets(part["text"].tolist(), k)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for _, own in batches(frames):
+            hashes, bounds = shingle_sets(own, k)
             keys = _set_keys(hashes, bounds)
             new = np.array([c not in seen and not seen.add(c) for c in keys.tolist()], bool)
             if len(seen) > 1_000_000:
                 seen.clear()
-            size = np.diff(bounds)
-            taken = (hashes % np.uint64(sample) == 0) & np.repeat(new, size)
-            yield pd.DataFrame({"h": hashes[taken].view(np.int64), "cls": np.repeat(keys, size)[taken]})
+            n = np.diff(bounds)
+            taken = (hashes % np.uint64(sample) == 0) & np.repeat(new, n)
+            held.append((hashes[taken], np.repeat(keys, n)[taken]))
+            size += int(taken.sum())
+            if size > 1_500_000:
+                yield hand_on(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if size:
+            yield hand_on(*(np.concatenate(x) for x in zip(*held)))
 
-    return docs.select("text").mapInPandas(run, "h long, cls long")
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([_from_planes(x) for x in frame["h"]])
+        c = np.frombuffer(b"".join(frame["c"]), np.int64)
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        alone = np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)
+        cls, u = np.unique(c[start[alone]], return_counts=True)
+        return pd.DataFrame({"cls": cls, "u": u})
 
+    got = texts.mapInPandas(run, "part int, h binary, c binary").groupBy("part").applyInPandas(add, "cls long, u long")
+    return got.groupBy("cls").agg(F.sum("u").alias("u"))
 
-def _with_common(classes: DataFrame, texts: DataFrame, k: int, sample: int, share: int) -> DataFrame:
-    """Rows of the classes (cls, n) but those with too many (sampled) shingles that no other class of the texts has."""
-    alone = _sampled(texts, k, sample).groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).where("cls = other")
-    per = alone.groupBy("cls").agg(F.count("*").alias("u"))
-    return classes.join(per, "cls", "left").where(100 * F.coalesce("u", F.lit(0)) <= (100 - share) * F.col("n")).drop("u")
+
+def _possible(classes: DataFrame, alone: DataFrame, share: int) -> DataFrame:
+    """Rows (cls, n ...) but those with too many shingles that no other class has."""
+    return classes.join(alone, "cls", "left").where(100 * F.coalesce("u", F.lit(0)) <= (100 - share) * F.col("n")).drop("u")
 
 
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
@@ -313,15 +388,15 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SLOTS, np.int64)
-        for part in pieces(frames, "text", 2_000_000):
-            counts += np.bincount((shingle_sets(part["text"].tolist(), k)[0] >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        for _, own in _unpacked(frames):
+            counts += np.bincount((shingle_sets(own, k)[0] >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         yield pd.DataFrame({"part": range(SLOTS // PART), "counts": [c.astype("<u4").tobytes() for c in counts.reshape(-1, PART)]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in frame["counts"])
         return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
 
-    rows = texts.select("text").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    rows = texts.select("n", "z").mapInPandas(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
     out = np.zeros(SLOTS, np.int64)
     for r in rows:
         out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, "<u4")
@@ -336,31 +411,49 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("r"), F.col(c).alias("v"))
         goes = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), "m")["v"].alias("to")), "contraction")
+        done = [edges]
         if labels is None:
             labels = goes
         else:
-            labels = cut(labels.join(goes.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")), "labels")
+            new = cut(labels.join(goes.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")), "labels")
+            done += [labels, goes]
+            labels = new
         a = goes.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = goes.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        drop(*done)
         rounds += 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", F.col("to").alias("component"))
 
 
-def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(classes of all documents as of _classes, (cls, component) of classes that link with others)."""
+def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block: int = 1024, weight: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(classes of all documents as of _classes, links (a, b) of classes, by which components are those of all links)."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
     classes = cut(_classes(own, k), "classes")
     per = classes.where("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "key")).alias("at"))
-    left = _with_common(per, own, k, sample, share).select("cls", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"))
+    per = cut(per.select("cls", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")), "representatives")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    left = _possible(per, _alone(own.select("text"), _texts, k, sample, total), share)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in pieces(frames, "text", 8_000_000):
+            doc = pd.array([None if x else int(v) for v, x in zip(part["doc_id"], part["doc_id"].isna())], "Int64")
+            yield pd.DataFrame({"doc_id": doc, "key": part["key"].to_numpy(), "z": _packed(part["text"].tolist())})
+
+    packed = own.where(F.octet_length("text") > 0).mapInPandas(pack, "doc_id long, key long, z binary")
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.key") == F.col("c.key"))
-    texts = cut(own.alias("d").join(left.alias("c"), same).select("cls", "n", "text"), "texts")
+    first = cut(packed.alias("d").join(left.alias("c"), same).select("cls", "n", "z"), "texts")
+    # Repeated rows have their representative's key too; one of each is enough.
+    kept = first.groupBy("cls").agg(F.max("n").alias("n"))
+    total = kept.agg(F.sum("n")).first()[0] or 0
     # Once more among those left, and now with all their shingles.
-    texts = cut(_with_common(texts, texts, k, 1, share).select("cls", "text"), "texts")
+    possible = _possible(kept, _alone(first.select("n", "z"), _unpacked, k, 1, total), share)
+    texts = cut(first.join(possible.select("cls"), "cls", "left_semi"), "texts")
+    drop(per, first)
     counts = _sketch(texts, k)
     common = np.maximum(counts // max(1, 4 * int(counts.mean()) + 4), 0)
     shared = spark.sparkContext.broadcast(np.where(common > 0, np.ceil(np.log2(common + 1)), 0).astype(np.uint64))
@@ -368,8 +461,8 @@ def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block:
     def beginnings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The classes' first shingles in the common order."""
         frequent = shared.value
-        for part in pieces(frames, "text", 1_000_000):
-            hashes, bounds = shingle_sets(part["text"].tolist(), k)
+        for part, own in _unpacked(frames, 1_000_000):
+            hashes, bounds = shingle_sets(own, k)
             size = np.diff(bounds)
             owner = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((hashes, frequent[(hashes >> np.uint64(44)).astype(np.int64)], owner))
@@ -377,40 +470,80 @@ def links(docs: DataFrame, share: int = 80, k: int = K, sample: int = 4, block:
             first = nth < np.repeat(size - -(-share * size // 100) + 1, size)
             yield pd.DataFrame({"h": hashes[order][first].view(np.int64), "cls": part["cls"].to_numpy()[owner[first]]})
 
-    starts = texts.mapInPandas(beginnings, "h long, cls long")
-    starts = cut(starts, "beginnings")
-    roots = cut(starts.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h", "a"), "roots")
+    starts = cut(texts.mapInPandas(beginnings, "h long, cls long"), "beginnings")
+    roots = starts.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h", "a")
     near = components(starts.join(roots, "h").select("a", F.col("cls").alias("b")))
-    near = cut(near, "neighbourhoods")
-    sizes = near.groupBy("component").agg(F.countDistinct("node").alias("classes"))
-    large = cut(sizes.where(F.col("classes") > block).select("component", F.ceil(F.col("classes") / block).alias("blocks")), "large")
-    parted = texts.join(near, texts.cls == near.node).select("cls", "component", "text")
-    schema = "a long, b long"
+    members = cut(texts.join(near, texts.cls == near.node).select("component", "cls", "n", "z").dropDuplicates(["cls"]), "members")
+    drop(starts, texts)
+    found = cut(_joined(members, share, k, block, weight), "links")
+    drop(members)
+    return classes, found
+
+
+EDGES = "a long, b long"
+
+
+def _joined(members: DataFrame, share: int, k: int, block: int, weight: int) -> DataFrame:
+    """Links inside neighbourhoods: members (component, cls, n, z)."""
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         gc.disable()
         frame = frame.drop_duplicates("cls")
         cls = frame["cls"].to_numpy()
-        hashes, bounds = shingle_sets(frame["text"].tolist(), k)
-        got = linked([hashes[a:b] for a, b in zip(bounds, bounds[1:])], share)
+        sets: list[np.ndarray] = []
+        for _, own in _unpacked(iter([frame[["n", "z"]]])):
+            hashes, bounds = shingle_sets(own, k)
+            sets += [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
+        got = linked(sets, share)
         linked_ = got != np.arange(len(cls))
         return pd.DataFrame({"a": cls[got[linked_]], "b": cls[linked_]})
 
+    sizes = members.groupBy("component").agg(F.count("*").alias("classes"), F.sum("n").alias("weight"))
+    large = cut(sizes.where((F.col("classes") > block) | (F.col("weight") > weight)), "large")
+    if large.isEmpty():
+        small = members
+    else:
+        small = members.join(large.select("component"), "component", "left_anti")
+    total = small.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, math.ceil(total / weight))
+    edges = small.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(groups))).select("task", "cls", "n", "z").groupBy("task").applyInPandas(join, EDGES)
     if large.isEmpty():
-        return classes, parted.groupBy("component").applyInPandas(join, schema).select("a", "b")
-    ordinary = parted.join(large, "component", "left_anti").groupBy("component").applyInPandas(join, schema)
+        return edges
     # Blocks of like set sizes; a set meets sets of up to 100 / share times its size.
-    wide = parted.join(large, "component").join(classes.groupBy("cls").agg(F.max("n").alias("n")), "cls")
-    wide = wide.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / share)))))
-    wide = wide.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    cells = wide.groupBy("component", "band", "part").agg(F.count("*").alias("m"))
-    pairs = cells.alias("p").join(cells.alias("q"), (F.col("p.component") == F.col("q.component")) & F.col("q.band").between(F.col("p.band"), F.col("p.band") + 1))
-    pairs = pairs.where("p.band < q.band OR p.part < q.part OR (p.band = q.band AND p.part = q.part)").select("p.component", F.col("p.band").alias("b1"), F.col("p.part").alias("p1"), F.col("q.band").alias("b2"), F.col("q.part").alias("p2"))
-    pairs = pairs.withColumn("task", F.xxhash64("component", "b1", "p1", "b2", "p2"))
-    ends = [pairs.select("component", F.col(f"b{i}").alias("band"), F.col(f"p{i}").alias("part"), "task") for i in (1, 2)]
-    meets = cut(reduce(DataFrame.unionByName, ends).distinct(), "meetings")
-    split = wide.join(meets, ["component", "band", "part"]).select("task", "cls", "text").groupBy("task").applyInPandas(join, schema)
-    return classes, ordinary.unionByName(split)
+    wide = members.join(large.select("component"), "component").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / share)))))
+    cells = wide.groupBy("component", "band").agg(F.greatest(F.ceil(F.sum("n") / weight), F.ceil(F.count("*") / block)).alias("parts"))
+    wide = cut(wide.join(cells, ["component", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts"), "wide")
+    inside = cut(wide.groupBy("component", "band", "part").applyInPandas(lambda frame: join(frame), EDGES), "inside")
+    key = ["component", "band", "part"]
+
+    def labelled(edges_: DataFrame) -> DataFrame:
+        of = components(edges_)
+        return wide.select(*key, "cls", "n").join(of.select(F.col("node").alias("cls"), F.col("component").alias("_c")), "cls", "left").withColumn("label", F.coalesce("_c", "cls")).drop("_c")
+
+    def largest(labels: DataFrame, by: list[str]) -> DataFrame:
+        per = labels.groupBy(*by, "label").agg(F.count("*").alias("m"), F.min("cls").alias("cls"))
+        return per.groupBy(*by).agg(F.max_by(F.struct("label", "cls"), F.struct("m", "label")).alias("top")).select(*by, "top.label", "top.cls")
+
+    # One member of each block's largest component; a thousand blocks at a time.
+    tops = largest(labelled(inside), key)
+    pivots = wide.join(tops.select("cls"), "cls", "left_semi")
+    many = pivots.groupBy("component").agg(F.ceil(F.count("*") / 1000).alias("chunks"))
+    pivots = pivots.join(many, "component").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")))
+    across = cut(pivots.select("component", "chunk", "cls", "n", "z").groupBy("component", "chunk").applyInPandas(lambda frame: join(frame), EDGES), "across")
+    labels = cut(labelled(inside.unionByName(across)), "labels")
+    outside = labels.join(largest(labels, ["component"]).select("component", F.col("label").alias("top")), "component").where("label <> top").select("component", "band", "cls", "n")
+    per = outside.groupBy("component", "band").agg(F.greatest(F.ceil(F.sum("n") / weight), F.ceil(F.count("*") / block)).alias("parts"))
+    outside = cut(outside.join(per, ["component", "band"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts"))).select("component", "band", "own", "cls"), "outside")
+    out = edges.unionByName(inside).unionByName(across)
+    if outside.isEmpty():
+        return out
+    blocks = wide.select(*key).distinct()
+    groups_ = outside.select("component", F.col("band").alias("to"), "own").distinct().withColumn("band", F.explode(F.sequence(F.col("to") - 1, F.col("to") + 1)))
+    meets = cut(groups_.join(blocks, ["component", "band"]).withColumn("task", F.xxhash64("component", "to", "own", "band", "part")), "meetings")
+    theirs = wide.join(meets.select(*key, "task"), key).select("task", "cls", "n", "z")
+    ours = outside.join(meets.select("component", F.col("to").alias("band"), "own", "task"), ["component", "band", "own"]).select("task", "cls")
+    ours = ours.join(wide.select("cls", "n", "z"), "cls").select("task", "cls", "n", "z")
+    return out.unionByName(reduce(DataFrame.unionByName, [theirs, ours]).groupBy("task").applyInPandas(lambda frame: join(frame), EDGES))
 
 
 def joined(docs: DataFrame, share: int = 80, k: int = K) -> DataFrame:

@@ -237,9 +237,10 @@ def test_jaccard(docs, rows, none):
     assert jaccard.query(none).count() == 0
 
 
-def test_jaccard_in_blocks(docs, rows):
+@pytest.mark.parametrize("weight", [10**6, 200])
+def test_jaccard_in_blocks(docs, rows, weight):
     """Neighbourhoods larger than a block are parted, and no link is lost."""
-    found, edges = jaccard.links(docs, block=2)
+    found, edges = jaccard.links(docs, block=2, weight=weight)
     of = {r.node: r.component for r in jaccard.components(edges).collect()}
     by = {}
     for r in found.where("cls IS NOT NULL AND doc_id IS NOT NULL").collect():
