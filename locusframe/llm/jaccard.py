@@ -403,14 +403,35 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (a, b), by contraction: each node goes to its neighbour of least hash in the round, until no edge is left."""
+def _contracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, to) of a few edges: each node's component, by its least member."""
+    frame = pd.concat(frames)
+    nodes, ids = np.unique(np.r_[frame["a"], frame["b"]], return_inverse=True)
+    a, b = ids[: len(frame)], ids[len(frame) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pd.DataFrame({"node": nodes, "to": nodes[label]})
+
+
+def components(edges: DataFrame, few: int = 500_000) -> DataFrame:
+    """(node, component) of edges (a, b), by contraction: each node goes to its neighbour of least hash in the round, until ``few`` edges are left, which one task contracts."""
     edges = cut(edges.where("a <> b").distinct(), "edges")
     labels, rounds = None, 0
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("r"), F.col(c).alias("v"))
-        goes = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), "m")["v"].alias("to")), "contraction")
+    while n := edges.count():
+        if n <= few:
+            goes = cut(edges.coalesce(1).mapInPandas(_contracted, "node long, to long"), "contraction")
+        else:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(rounds)).alias("r"), F.col(c).alias("v"))
+            goes = cut(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(rank("a"), "m")["v"].alias("to")), "contraction")
         done = [edges]
         if labels is None:
             labels = goes
@@ -418,6 +439,9 @@ def components(edges: DataFrame) -> DataFrame:
             new = cut(labels.join(goes.select(F.col("node").alias("to"), F.col("to").alias("then")), "to", "left").select("node", F.coalesce("then", "to").alias("to")), "labels")
             done += [labels, goes]
             labels = new
+        if n <= few:
+            drop(*done)
+            break
         a = goes.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = goes.select(F.col("node").alias("b"), F.col("to").alias("y"))
         edges = cut(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")

@@ -252,6 +252,20 @@ def test_jaccard_in_blocks(docs, rows, weight):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_components(spark, few):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (150, 2))] + [(i, i + 1) for i in range(1000, 1060)]
+    of = {r.node: r.component for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+    label = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    lone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
+    assert set(of) == set(label) - lone
+    assert all((of[x] == of[y]) == (label[x] == label[y]) for x in of for y in of)
+
+
 def test_prefix_tree_against_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(30):
