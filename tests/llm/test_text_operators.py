@@ -196,6 +196,45 @@ def test_fingerprints(spark, none):
     assert one.near_next == 1.0
 
 
+def test_signature_against_a_plain_version(spark):
+    """Every row: the two k-mers of least hash from its point on, in text order."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "longerthaneight", "é"], n)) for n in (1, 2, 3, 40, 500)] + ["", "one"]
+    h = lambda *parts: F.xxhash64(*parts)
+    pairs = {}
+    words = [re.findall(r"\S{1,8}", t) for t in texts]
+    every = sorted({(w[i], w[i + 1] if i + 1 < len(w) else None) for w in words for i in range(len(w))}, key=str)
+    for r in spark.createDataFrame(every, "a string, b string").select("a", "b", h("a", "b").alias("h")).collect():
+        pairs[r.a, r.b] = r.h >> 31
+    again = {}
+    need = {(pairs[w[i], w[i + 1] if i + 1 < len(w) else None], k) for w in words for i in range(len(w)) for k in range(1, len(w))} if words else set()
+    need = sorted({(x, k) for x, k in need if k < 300})
+    for r in spark.createDataFrame(need, "x long, k int").select("x", "k", h("x", "k").alias("h")).collect():
+        again[r.x, r.k] = r.h >> 31
+    tuples, per = {}, []
+    for w in words:
+        seen, own = Counter(), []
+        for i in range(len(w)):
+            x = pairs[w[i], w[i + 1] if i + 1 < len(w) else None]
+            own.append((again[x, seen[x]] if seen[x] else x, i))
+            seen[x] += 1
+        own.sort()
+        rows = []
+        for j in range(32):
+            point = (-(1 << 63) + j * (1 << 59)) >> 31
+            first = sum(x < point for x, _ in own)
+            taken = sorted((own[(first + k) % len(own)] for k in range(2)), key=lambda t: t[1]) if own else []
+            rows.append(tuple(x & (1 << 33) - 1 for x, _ in taken))
+        per.append(rows)
+        tuples |= dict.fromkeys(rows)
+    listed = sorted(tuples)
+    hashed = [r[0] for r in spark.createDataFrame([(i, list(t)) for i, t in enumerate(listed)], "i int, t array<bigint>").orderBy("i").select(F.xxhash64("t").bitwiseAND(0xFFFFFFFF)).collect()]
+    of = dict(zip(listed, hashed))
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fingerprints.signature(F.col("t"))).collect()]
+    empty = spark.range(1).select(F.xxhash64(F.array(F.lit(None).cast("long"), F.lit(None).cast("long"))).bitwiseAND(0xFFFFFFFF)).first()[0]
+    assert got == [[of[x] if x else empty for x in rows] for rows in per]
+
+
 def test_fingerprints_are_sensitive_to_order_and_repetition(spark):
     a = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
     halves = " ".join(a.split()[7:] + a.split()[:7])
