@@ -7,12 +7,17 @@ spells go by their UTF-8 byte pieces.  A document's probability is the product o
 and one end piece; pieces never cross white space, so that each distinct word is worked out
 once and not at each of its places.
 
-What is learnt, from documents outside the held-out fold only: word counts (of the base
-score), and the pieces' probabilities, which start from the vocabulary's scores and take
-``rounds`` expectation steps over all distinct training words.  The counts are a table in
-the shared folder; only the most frequent words, at most ``hot`` of at most 64 bytes, are
-broadcast, with the pieces, whose number the vocabulary bounds.  Other words meet their
-counts in a join, as rows of (document, word, occurrences).
+What is learnt, from documents outside the held-out fold only: word counts, and the pieces'
+probabilities, which start from the vocabulary's scores and take ``rounds`` expectation steps
+over all distinct training words.  A word of the training documents is one more piece of its
+own lattice: its probability is (1 - e) c / N + e times the sum over the vocabulary's pieces,
+where e is the share of training tokens that occur once (what Good and Turing expect of
+unseen ones); a word never seen has the second part alone.
+
+The counts, with the sums over pieces, are a table in the shared folder, each distinct word
+worked out once.  Only words with the most occurrences a byte, ``hot`` words and ``hot_bytes``
+at most, are broadcast, with the pieces, whose number the vocabulary bounds.  Other words meet
+their counts in a join, as rows of (document, word, occurrences).
 
 Null and empty texts consist of the end token.  Repeated rows are scored each.  Very long
 words take one recursion each.  Other columns are ignored.  An empty table gives no rows;
@@ -184,59 +189,77 @@ def adapted(lattice: Lattice, counts: DataFrame, rounds: int = 1, prior: float =
     return lattice
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Words from a count on, which a histogram of some hundred bins sets so that at most ``most`` are left; no sort, and nothing else reaches the driver."""
-    step = F.floor(8 * F.log2("c"))
-    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("n")).collect()
-    least, total = None, 0
+def most_frequent(counts: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """Words with the most occurrences a byte, down to a bound which a histogram of some hundred bins sets so that at most ``most`` words of ``most_bytes`` are left; no sort, and nothing else reaches the driver."""
+    size = F.length("word") + 40
+    step = F.floor(8 * F.log2(F.col("c") / size))
+    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+    least, total, bytes_ = None, 0, 0
     for r in sorted(bins, key=lambda r: -r.bin):
-        total += r.n
-        if total > most:
+        total, bytes_ = total + r.n, bytes_ + r.bytes
+        if total > most or bytes_ > most_bytes:
             break
         least = r.bin
     return counts.where(F.lit(False) if least is None else step >= least)
 
 
-def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1) -> DataFrame:
+def _decoded(words: list[bytes]) -> list[str]:
+    return [bytes(w).decode("utf-8", "surrogatepass") for w in words]
+
+
+def spelled(counts: DataFrame, lattice: Lattice) -> DataFrame:
+    """counts with logp: the natural log of the sum over all ways to spell the word; the end token is one piece."""
+    shared = counts.sparkSession.sparkContext.broadcast(lattice)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for frame in frames:
+            got = own.words(_decoded(frame["word"]))
+            got[(frame["word"].str.len() == 0).to_numpy()] = own.logp[own.end]
+            yield frame.assign(logp=got)
+
+    return counts.mapInPandas(run, "word binary, c long, logp double")
+
+
+def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1, hot_bytes: int = 24_000_000) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 10_000)
     own = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = cut(word_counts(own.where(fold(F.col("doc_id")) != HELD_OUT)), "words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.max(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
+    counted = cut(word_counts(own.where(fold(F.col("doc_id")) != HELD_OUT)), "words")
+    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     n, below = total.n, np.log10(max(1e-9, total.n + 0.5 * (total.v + 1)))
-    frequent = most_frequent(counts.where(F.length("word") <= 64), hot).collect()
-    known = {bytes(r.word): float(np.log10(r.c + 0.5) - below) for r in frequent}
-    if total.ends:
-        known[b""] = float(np.log10(total.ends + 0.5) - below)  # every document has the end token
+    escape = float((total.once + 1) / (n + 1))
+    lattice = adapted(Lattice.load(vocabulary), counted, rounds)
+    counts = cut(spelled(counted, lattice), "spelled")
+    frequent = most_frequent(counts, hot, hot_bytes)
+    known = {bytes(r.word): (float(np.log10(r.c + 0.5) - below), float(np.log10((1 - escape) * r.c / n + escape * np.exp(r.logp)))) for r in frequent.collect()}
     whole = total.v <= len(known)
-    shared = spark.sparkContext.broadcast((known, adapted(Lattice.load(vocabulary), counts, rounds), whole))
+    shared = spark.sparkContext.broadcast((known, lattice))
+    unknown, ln10 = float(np.log10(0.5) - below), float(np.log(10))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         gc.disable()
-        known, lattice, whole = shared.value
-        unknown, row = float(np.log10(0.5) - below), TaskContext.get().partitionId() << 33
+        known, lattice = shared.value
+        row = TaskContext.get().partitionId() << 33
         ids: dict[bytes, int] = {}
-        end_base, end_score = known.get(b"", unknown), float(lattice.logp[lattice.end])
         for part in pieces(frames, "text", 2_000_000):
             if len(ids) > 600_000 or not ids:
                 ids = defaultdict(count().__next__)
-                base, seen, logp, words = np.zeros(0), np.zeros(0, bool), np.zeros(0), []
-            split = [np.fromiter(map(ids.__getitem__, space_words(t)), np.int64) for t in part["text"]]
+                base, scores, words = np.zeros(0), np.zeros(0), []
+            split = [np.fromiter(map(ids.__getitem__, [*space_words(t), b""]), np.int64) for t in part["text"]]
             new = list(ids)[len(words) :] if len(ids) > len(words) else []
             words += new
-            # nan: not among the frequent words; if those are all, not in training.
-            base = np.r_[base, [known.get(w, unknown if whole else np.nan) for w in new]]
-            seen = np.r_[seen, np.array([w in known for w in new], bool)]
-            logp = np.r_[logp, lattice.words([w.decode("utf-8", "surrogatepass") for w in new])]
+            # nan: not among the broadcast words; if those are all, not in training.
+            got = np.array([known.get(w, (np.nan, np.nan)) for w in new]).reshape(-1, 2)
+            base, scores = np.r_[base, got[:, 0]], np.r_[scores, got[:, 1]]
             out = []
             for doc, no_id, at in zip(part["doc_id"], part["doc_id"].isna(), split):
                 b = base[at]
                 rare = np.isnan(b)
-                scored = end_score + logp[at].sum()
-                out.append((row, b" %d" % row, 1, None if no_id else int(doc), len(at) + 1, int(seen[at].sum()) + (b"" in known), end_base + np.nansum(b), scored / np.log(10)))
+                out.append((row, b" %d" % row, 1, None if no_id else int(doc), len(at), int(len(at) - rare.sum()), np.nansum(b), np.nansum(scores[at])))
                 if rare.any():
                     out += [(row, words[i], k, None, 0, 0, 0.0, 0.0) for i, k in zip(*(x.tolist() for x in np.unique(at[rare], return_counts=True)))]
                 row += 1
@@ -244,17 +267,31 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1)
             frame["doc_id"] = pd.array([r[3] for r in out], "Int64")
             yield frame
 
+    @F.pandas_udf("double")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        """Of words that training has not; null of null."""
+        lattice = shared.value[1]
+        for words in batches:
+            out = np.full(len(words), np.nan)
+            own = np.flatnonzero(words.notna())
+            if len(own):
+                got = words.iloc[own]
+                out[own] = np.where(got.str.len() == 0, lattice.logp[lattice.end], lattice.words(_decoded(got)))
+            yield pd.Series(out)
+
     schema = "row long, word binary, times int, doc_id long, n_tokens long, n_known long, base double, score double"
     rows = own.mapInPandas(run, schema)  # the row with a document's sums has a word that no text holds
-    if not whole:
-        rows = rows.join(counts, "word", "left")
-        doc_row = F.col("n_tokens") > 0
-        rows = rows.select(
-            "row", "doc_id", "n_tokens", "score",
-            F.when(doc_row, F.col("n_known")).otherwise(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-            F.when(doc_row, F.col("base")).otherwise(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(float(below)))).alias("base"),
-        )
-        rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
+    rows = rows.join(counts, "word", "left") if not whole else rows.withColumn("c", F.lit(None).cast("long")).withColumn("logp", F.lit(None).cast("double"))
+    doc_row, seen = F.col("n_tokens") > 0, F.col("c") > 0
+    rows = rows.withColumn("spelled", spell(F.when(~doc_row & F.col("c").isNull(), F.col("word"))))
+    log10_p = F.when(seen, F.log10((1 - escape) * F.col("c") / max(1, n) + escape * F.exp("logp"))).otherwise(F.lit(float(np.log10(escape))) + F.col("spelled") / ln10)
+    rows = rows.select(
+        "row", "doc_id", "n_tokens",
+        F.when(doc_row, F.col("score")).otherwise(F.col("times") * log10_p).alias("score"),
+        F.when(doc_row, F.col("n_known")).otherwise(F.when(seen, F.col("times")).otherwise(0)).alias("n_known"),
+        F.when(doc_row, F.col("base")).otherwise(F.col("times") * F.when(seen, F.log10(F.col("c") + 0.5) - F.lit(float(below))).otherwise(unknown)).alias("base"),
+    )
+    rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     return rows.select(
         "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",

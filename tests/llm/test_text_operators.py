@@ -343,19 +343,49 @@ def test_one_of_each(docs, rows):
 # Likelihood
 
 
-def test_likelihood(docs, rows, none):
+def spellings(word, names, logp):
+    """Natural log of the sum over all ways to spell a word."""
+    text = "▁" + word
+    ways = [0.0] * (len(text) + 1)
+    ways[0] = 1.0
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - 20), j):
+            piece = text[i:j]
+            if piece in names and "▁" not in piece[1:]:
+                ways[j] += ways[i] * np.exp(logp[names[piece]])
+        if ways[j] == 0:
+            ways[j] = ways[j - 1] * np.exp(sum(logp[names[f"<0x{b:02X}>"]] for b in text[j - 1].encode()))
+    return np.log(ways[-1]) if ways[-1] > 0 else -np.inf
+
+
+def test_likelihood(spark, docs, rows, none):
     import public_tokenizers
+    import sentencepiece
 
+    path = public_tokenizers.path("piece_bpe_32k.model")
     train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
     c = Counter(w for t in train for w in [*spaced(t), b""])
-    n, v = sum(c.values()), len(c)
+    n, v, escape = sum(c.values()), len(c), (sum(k == 1 for k in c.values()) + 1) / (sum(c.values()) + 1)
+    lattice = likelihood.adapted(likelihood.Lattice.load(path), spark.createDataFrame([(bytearray(w), k) for w, k in c.items()], "word binary, c long"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = {model.id_to_piece(i): i for i in range(model.get_piece_size())}
+    short = {w for _, t in rows for w in [*spaced(t), b""] if len(w) < 100}
+    log10_p = {w: (lattice.logp[lattice.end] if not w else spellings(w.decode(), names, lattice.logp)) for w in short}
+    log10_p = {w: np.log10((1 - escape) * c[w] / n + escape * np.exp(p)) if c[w] else np.log10(escape) + p / np.log(10) for w, p in log10_p.items()}
     for hot in (1 << 18, 5):
-        got = likelihood.score(docs, public_tokenizers.path("piece_bpe_32k.model"), hot=hot).collect()
+        got = likelihood.score(docs, path, hot=hot).collect()
         assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got) == Counter((i, len(spaced(t)) + 1, sum(c[w] > 0 for w in [*spaced(t), b""]), n) for i, t in rows)
         base = sorted(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*spaced(t), b""]) for _, t in rows)
         assert np.allclose(sorted(r.base_score for r in got), base)
         assert all(r.score < 0 for r in got)
+        want = {i: sum(log10_p[w] for w in [*spaced(t), b""]) for i, t in rows if i is not None and all(w in short for w in spaced(t))}
+        by = {r.doc_id: r.score for r in got}
+        assert len(want) > 30 and all(by[i] == pytest.approx(x) for i, x in want.items())
     assert likelihood.query(none).count() == 0
+    # Without training documents, pieces alone.
+    alone = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    got = likelihood.query(spark.createDataFrame([(i, "some words here") for i in alone], "doc_id long, text string")).collect()
+    assert {(r.n_known, r.train_tokens) for r in got} == {(0, 0)} and all(np.isfinite(r.score) for r in got)
 
 
 def test_lattice_sums_all_segmentations():
