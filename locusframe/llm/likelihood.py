@@ -46,10 +46,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Lattice:
-    """Pieces by length: sorted hashes and their places in ``logp``; ``end`` and ``byte`` are places too."""
+    """Pieces as hashes with their places in ``logp``; ``end`` and ``byte`` are places too.  sizes: lengths of pieces."""
 
-    hashes: dict[int, np.ndarray]
-    places: dict[int, np.ndarray]
+    sizes: list[int]
+    hashes: np.ndarray
+    places: np.ndarray
     byte: np.ndarray
     end: int
     logp: np.ndarray
@@ -72,12 +73,35 @@ class Lattice:
         by: dict[int, list[int]] = defaultdict(list)
         for i in plain:
             by[len(names[i])].append(i)
-        hashes, places = {}, {}
-        for size, ids in by.items():
-            h = _prefix_hashes(np.array([[ord(c) for c in names[i]] for i in ids], np.uint64))[:, -1]
-            order = np.argsort(h)
-            hashes[size], places[size] = h[order], np.array(ids)[order]
-        return Lattice(hashes, places, byte, n, logp - np.logaddexp.reduce(logp))
+        ids = [i for of_size in by.values() for i in of_size]
+        hashes = np.concatenate([_prefix_hashes(np.array([[ord(c) for c in names[i]] for i in of_size], np.uint64))[:, -1] for of_size in by.values()])
+        return Lattice(sorted(by), hashes, np.array(ids), byte, n, logp - np.logaddexp.reduce(logp))
+
+    def _tables(self) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
+        """(multiplier, shift, slots): where pieces stand by hash; what shares a slot with another goes to the next table."""
+        if not hasattr(self, "_slots"):
+            left, out, odd = np.arange(len(self.hashes)), [], 0x9E3779B97F4A7C15
+            while len(left):
+                bits = 18 if not out else 16
+                slot = ((self.hashes[left] * np.uint64(odd)) >> np.uint64(64 - bits)).astype(np.int64)
+                table = np.zeros(1 << bits, np.int32)
+                _, first = np.unique(slot, return_index=True)
+                table[slot[first]] = left[first] + 1
+                out.append((np.uint64(odd), np.uint64(64 - bits), table))
+                left = np.delete(left, first)
+                odd = odd * 0xD1342543DE82EF95 % (1 << 64) | 1
+            self._slots = out
+            self._hashes = np.r_[np.uint64(0), self.hashes]
+        return self._slots
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are pieces, the pieces' places)."""
+        at = np.zeros(len(h), np.int64)
+        for odd, shift, table in self._tables():
+            own = table[(h * odd) >> shift]
+            np.copyto(at, own, where=self._hashes[own] == h)
+        rows = np.flatnonzero(at)
+        return rows, self.places[at[rows] - 1]
 
     def words(self, words: list[str], counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each word's probability; ``expected`` gets the expected uses of each piece, times ``counts``."""
@@ -93,23 +117,18 @@ class Lattice:
 
     def _alike(self, words: list[str], n: int, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
         chars = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-        prefix = np.concatenate([np.zeros((len(words), 1), np.uint64), _prefix_hashes(chars)], 1)
+        prefix = np.ascontiguousarray(np.concatenate([np.zeros((len(words), 1), np.uint64), _prefix_hashes(chars)], 1).T)
         power = _BASE ** np.arange(n + 1, dtype=np.uint64)
         forward = np.full((n + 1, len(words)), -np.inf)
         forward[0] = 0
         edges = []
         for j in range(1, n + 1):
-            for size, hashes in self.hashes.items():
+            for size in self.sizes:
                 i = j - size
                 if i < 0:
-                    continue
-                h = prefix[:, j] - prefix[:, i] * power[size]
-                at = np.searchsorted(hashes, h)
-                at[at == len(hashes)] = 0
-                got = hashes[at] == h
-                if got.any():
-                    rows = np.flatnonzero(got)
-                    place = self.places[size][at[rows]]
+                    break
+                rows, place = self.find(prefix[j] - prefix[i] * power[size])
+                if len(rows):
                     forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + self.logp[place])
                     if expected is not None:
                         edges.append((i, j, rows, place))
@@ -185,7 +204,7 @@ def adapted(lattice: Lattice, counts: DataFrame, rounds: int = 1, prior: float =
         rows = counts.mapInPandas(run, "place long, uses double").groupBy("place").agg(F.sum("uses").alias("uses")).collect()  # a row for each piece at most
         uses = np.exp(lattice.logp) * prior
         uses[[r.place for r in rows]] += [r.uses for r in rows]
-        lattice = Lattice(lattice.hashes, lattice.places, lattice.byte, lattice.end, np.log(uses / uses.sum()))
+        lattice = Lattice(lattice.sizes, lattice.hashes, lattice.places, lattice.byte, lattice.end, np.log(uses / uses.sum()))
     return lattice
 
 

@@ -3,11 +3,13 @@
 A listed URL sets one bit in each of the eight 64-bit words of one block; a page's URL that
 finds all its bits set may be listed, and only such pages go to the exact hash join with the
 list, which removes the false positives.  The blocks are broadcast while they are known to
-be small, and joined by block number beyond that.
+be small, and joined by block number beyond that; pages are read once, and those that a rule
+decides, or that have no host, are not tested.
 
 Null URLs, and those without ``://``, have an empty host, path and canonical form; they fit
 no rule, are never listed, and so are allowed.  Repeated rows are judged each; a listed URL
-may repeat.  An empty list blocks nothing.  Other columns are kept unless they have the name
+may repeat.  An empty list blocks nothing, an empty table of pages
+gives no rows, and a very long URL is a key like others.  Other columns are kept unless they have the name
 of a result column, which then replaces them.
 """
 
@@ -82,17 +84,20 @@ def apply(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
         blocks = F.broadcast(blocks)
     own = pages.drop("host", "path", "canonical", "rule", "verdict")
     own = own.select("*", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
-    own = own.withColumn("_judged", judged(rules, F.col("host"), F.col("path"))).withColumn("_block", _block(F.col("canonical"), n_blocks))
+    own = own.withColumn("_judged", judged(rules, F.col("host"), F.col("path")))
+    # What needs no test has keys that nothing joins, spread over all tasks.
+    nowhere = -1 - F.pmod(F.xxhash64("url", "canonical", F.monotonically_increasing_id()), F.lit(1 << 20))
+    own = own.withColumn("_open", F.col("_judged").isNull() & (F.col("canonical") != "")).withColumn("_nowhere", nowhere)
+    own = own.withColumn("_block", F.when(F.col("_open"), _block(F.col("canonical"), n_blocks)).otherwise(F.col("_nowhere")))
     words = blocks.withColumnRenamed("block", "_block").withColumnsRenamed({f"w{i}": f"_w{i}" for i in range(WORDS)})
-    tested = own.join(words, "_block", "left")
     every = reduce(and_, [F.col(f"_w{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits("canonical"))])
-    tested = tested.withColumn("_maybe", F.col("_judged").isNull() & (F.col("canonical") != "") & F.coalesce(every, F.lit(False)))
-    tested = tested.drop("_block", *[f"_w{i}" for i in range(WORDS)])
-    hits = tested.where("_maybe").join(listed.withColumn("_listed", F.lit(True)), "canonical", "left")
-    others = tested.where("NOT _maybe").withColumn("_listed", F.lit(False))
-    both = hits.select(*tested.columns, F.coalesce("_listed", F.lit(False)).alias("_listed")).union(others.select(*tested.columns, "_listed"))
+    tested = own.join(words, "_block", "left").withColumn("_maybe", F.col("_open") & F.coalesce(every, F.lit(False)))
+    tested = tested.withColumn("_key", F.when(F.col("_maybe"), F.col("canonical")).otherwise(F.concat(F.lit("\0"), F.col("_nowhere").cast("string"))))
+    found = listed.select(F.col("canonical").alias("_key"), F.lit(True).alias("_listed"))
+    got = tested.join(found, "_key", "left")
     verdict = F.coalesce(F.col("_judged.verdict"), F.when(F.col("_listed"), "block").otherwise("allow"))
-    return both.select(*own.drop("_judged", "_block").columns, F.col("_judged.rule").alias("rule"), verdict.alias("verdict"))
+    kept = [c for c in own.columns if c not in ("_judged", "_open", "_nowhere", "_block")]
+    return got.select(*kept, F.col("_judged.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def thin(pages: DataFrame, least: int = 1000) -> DataFrame:

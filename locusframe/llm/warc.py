@@ -38,26 +38,29 @@ INDEX = "page_id long, record_id string, record_type string, refers_to long, bun
 CRLF = b"\r\n"
 
 
-def record_id(page_id: object) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
+def record_id(place: str) -> str:
+    """Of the place where a record is written, which no other record has."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; a revisit has no payload in its block, but its digest and size in its header."""
+def record(own_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+    """One WARC record; a revisit has no payload in its block, but its digest and size in its header, and the page that has it."""
     http = b"HTTP/1.1 200 OK" + CRLF + b"Content-Type: text/html; charset=utf-8" + CRLF + CRLF
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<{record_id(page_id)}>"),
+        ("WARC-Record-ID", f"<{own_id}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}"),
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http;msgtype=response"),
     ]
+    if page_id is not None:
+        fields.append(("X-Page-ID", str(page_id)))
     if url is not None:
         fields.append(("WARC-Target-URI", "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)))
     block = http + payload
     if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_id(refers_to)}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))]
         block = http
     fields.append(("Content-Length", str(len(block))))
     head = b"WARC/1.1" + CRLF + b"".join(f"{k}: {v}\r\n".encode("utf-8", "surrogatepass") for k, v in fields)
@@ -148,7 +151,7 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = 512_000, bundle_byte
         context = TaskContext.get()
         system, path = file_system(folder)
         system.create_dir(path, recursive=True)
-        stem, n = f"part-{context.partitionId():06d}-{context.taskAttemptId()}", 0
+        stem, n, n_records = f"part-{context.partitionId():06d}-{context.taskAttemptId()}", 0, 0
         bundle, buffer, size, rows = None, [], 0, []
 
         def close_frame() -> None:
@@ -171,10 +174,12 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = 512_000, bundle_byte
                 if bundle is None:
                     name = f"{stem}-{n}.warc.zst"
                     bundle, n = Bundle(system, f"{path}/{name}"), n + 1
-                data = record(page, url, (html or "").encode("utf-8", "surrogatepass"), top)
+                own_id = record_id(f"{folder}/{name}/{len(bundle.frames)}/{size}/{n_records}")
+                n_records += 1
+                data = record(own_id, page, url, (html or "").encode("utf-8", "surrogatepass"), top)
                 if size and size + len(data) > frame_bytes:
                     close_frame()
-                rows.append((page, record_id(page), "response" if top is None else "revisit", top, name, len(bundle.frames), size, len(data)))
+                rows.append((page, own_id, "response" if top is None else "revisit", top, name, len(bundle.frames), size, len(data)))
                 buffer.append(data)
                 size += len(data)
                 if bundle.size > bundle_bytes:
@@ -192,7 +197,7 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = 512_000, bundle_byte
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """The records of an index: page_id, record_id, record_type, refers_to, url, payload, payload_bytes and payload_digest.
+    """The records of an index, all from the archive: page_id, record_id, record_type, refers_to, url, payload, payload_bytes and payload_digest.
 
     A response's payload must have the digest its header says; a revisit's payload is null.
     """
@@ -213,11 +218,12 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{name}: another record where {row.record_id} should be")
                 if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
                     raise ValueError(f"{name}: the payload of {row.record_id} is damaged")
-                out.append((fields["WARC-Type"], fields.get("WARC-Target-URI"), payload if fields["WARC-Type"] == "response" else None, size, digest))
-            frame = part[["page_id", "record_id", "refers_to"]].reset_index(drop=True)
-            for c in ("page_id", "refers_to"):
-                frame[c] = pd.array([None if pd.isna(x) else int(x) for x in frame[c]], "Int64")
-            yield frame.join(pd.DataFrame(out, columns=["record_type", "url", "payload", "payload_bytes", "payload_digest"]))
+                page, top = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
+                out.append((None if page is None else int(page), row.record_id, None if top is None else int(top), fields["WARC-Type"], fields.get("WARC-Target-URI"), payload if fields["WARC-Type"] == "response" else None, size, digest))
+            frame = pd.DataFrame(out, columns=["page_id", "record_id", "refers_to", "record_type", "url", "payload", "payload_bytes", "payload_digest"])
+            for k, c in ((0, "page_id"), (2, "refers_to")):
+                frame[c] = pd.array([r[k] for r in out], "Int64")
+            yield frame
 
     schema = "page_id long, record_id string, refers_to long, record_type string, url string, payload binary, payload_bytes long, payload_digest string"
     small_batches(index.sparkSession)

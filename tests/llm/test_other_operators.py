@@ -39,6 +39,10 @@ def test_warc(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", top))
         assert r.payload_bytes == len(data) and r.payload_digest == hashlib.sha1(data).hexdigest()
         assert (r.payload == data) if first else r.payload is None
+    assert len({r.record_id for r in got}) == len(got)
+    # The index's own page columns aren't looked at.
+    blind = index.withColumn("page_id", F.lit(None).cast("long")).withColumn("refers_to", F.lit(-1).cast("long"))
+    assert sorted(map(str, warc.read(blind, folder).collect())) == sorted(map(str, got))
     assert warc.write(warc.with_types(pages.limit(0)), work_folder(spark, "warc-none")).count() == 0
 
 
