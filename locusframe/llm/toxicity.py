@@ -6,22 +6,22 @@ into an insult, or left out, costs weight but doesn't hide it.  Words of fewer t
 characters get marks at their ends, so that they have such subsequences too.  Words are mapped to Nyström
 features K(word, landmarks) K(landmarks, landmarks) ** -1/2.
 
-Training is multiple-instance, as labels hold for documents: its instances are sentences,
-each for words in it.  Every sentence of a clean document is a negative instance for its words
-that several clean documents have, and for the word that the present SVM finds worst in it; one of a toxic document is a positive instance for
-each word beyond the margin that is much more frequent in toxic documents (in the first
-round: for words whose frequencies prove it).  Negative instances of all rounds are kept.  As the map is linear in the subsequences, the trained SVM
-folds into one weight for each subsequence of a landmark, and scoring a new word is a few
-table look-ups.
+Labels hold for documents, not sentences, so training is multiple-instance, with words for
+instances: a clean document's words are clean, a toxic document has toxic words somewhere.
+The SVM's first positive instances are words whose document frequencies prove them; then
+those of toxic documents beyond the last SVM's margin.  As the map is linear in the
+subsequences, the trained SVM folds into one weight for each subsequence of a landmark, and
+scoring a new word is a few table look-ups.
 
 A document's score: logistic regression on the count and margins of its toxic words, fitted
 on the same training documents and weighted to the labels' true shares.
 
 The sample for fitting is bounded by ``per_class`` documents of each label of at most
-``longest`` characters (by hash of doc_id), which bounds the driver's work and leaves out texts
-whose many words prove little; scoring reads every whole text, and a very long word by windows.  Null and empty texts get the score of a document without words.
-Repeated rows get equal scores.  An empty table
-gives no rows.  Without labels of both kinds all scores are the share of
+``longest`` characters (by hash of doc_id), which bounds the driver's work; scoring reads
+every whole text, and a very long word by windows.  Negative instances are the 12,000 most
+frequent clean words, candidates for positive ones the 4000 of most evidence.  An empty table
+gives no rows.  Null and empty texts get the score of a document without words.
+Repeated rows get equal scores.  Without labels of both kinds all scores are the share of
 toxic labels (0 without labels).  Other columns are kept by the caller.
 """
 
@@ -195,7 +195,7 @@ def features(margins: np.ndarray) -> list[float]:
     return [np.log1p(len(hits)), min(2.0, float(hits.max())) if len(hits) else 0.0, float(len(hits) > 0), len(hits) / (n + 5.0), float(np.log1p(n)) / 10, 1.0]
 
 
-def train(texts: list[str], labels: list[int], share: float, landmarks: int = 128, decay: float = 0.6, rounds: int = 4) -> Model:
+def train(texts: list[str], labels: list[int], share: float, landmarks: int = 128, decay: float = 0.6, rounds: int = 3) -> Model:
     """share: of toxic documents among all labelled ones."""
     y = np.array(labels, bool)
     if y.all() or not y.any():
@@ -227,13 +227,8 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
         out = np.zeros((len(words), len(marks)))
         for own, slots, weights in subsequences(words, alphabet, decay):
             at = place[slots]
-            k, w, p = np.nonzero(at)
-            order = np.argsort(w, kind="stable")
-            for some in np.array_split(order, len(order) // 30_000 + 1):
-                if len(some):
-                    kk, ww, pp = k[some], w[some], p[some]
-                    first = np.flatnonzero(np.r_[True, ww[1:] != ww[:-1]])
-                    out[own[ww[first]]] += np.add.reduceat(weights[kk, ww, pp][:, None] * rows[at[kk, ww, pp]], first)
+            for k, w, p in zip(*np.nonzero(at)):
+                out[own[w]] += weights[k, w, p] * rows[at[k, w, p]]
         return out
 
     for own, slots, weights in subsequences(marks, alphabet, decay):
@@ -246,55 +241,28 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    # Sentences as runs of word numbers, and whether their document is toxic.
-    numbers: dict[str, int] = {}
-    sentences, toxic_of = [], []
-    for d, k, o in zip(docs, y, one):
-        if o:
-            for sentence in d:
-                own = [numbers.setdefault(x, len(numbers)) for u in sentence for x in windows(u) if len(x) >= LENGTH]
-                if own:
-                    sentences.append(own)
-                    toxic_of.append(bool(k))
-    every = list(numbers)
-    flat, first = np.concatenate(sentences), np.cumsum([0, *map(len, sentences[:-1])])
-    owner = np.repeat(np.arange(len(sentences)), np.diff(np.r_[first, len(flat)]))
-    bad = np.array(toxic_of)
-
-    def worst(value: np.ndarray) -> np.ndarray:
-        """The word of each sentence with the largest value, the first of equal ones."""
-        top = np.maximum.reduceat(value[flat], first)
-        at = np.flatnonzero(value[flat] == top[owner])
-        return flat[at[np.r_[True, owner[at][1:] != owner[at][:-1]]]]
-
-    proof = np.array([evidence.get(x, 0.0) for x in every])
-    value = np.array([odds.get(x, -9.0) for x in every])
-    seeds = {x for x in ranked if odds[x] > np.log(4) and evidence[x] > 12} or set(ranked[:10])
-    positive_now = np.array([x in seeds for x in every])
-    value[positive_now] += 9
-    phi: dict[int, np.ndarray] = {}
-    negatives = Counter({numbers[x]: n for x, n in df[0].items() if n > 1 and x in numbers})
+    # Instances: words of clean sentences, and the words by which toxic documents stand out.
+    negative, candidates = of_each(clean, 12_000), of_each(ranked, 4000)
+    good = [x for x in ranked if odds[x] > np.log(4) and evidence[x] > 12][:1000] or ranked[:10]
+    phi = {x: v for x, v in zip(negative + candidates, np.c_[explicit(negative + candidates) @ root, np.ones(len(negative) + len(candidates))])}
     for _ in range(rounds):
-        word = worst(value)
-        for w, n in Counter(word[~bad].tolist()).items():
-            negatives[w] = max(negatives[w], n)
-        inside = flat[bad[owner]]
-        positives = Counter(inside[positive_now[inside]].tolist())
-        if not positives:
+        positive = [x for x in good if x in phi]
+        if not positive:
             break
-        ids = [*negatives, *positives]
-        if new := [i for i in dict.fromkeys(ids) if i not in phi]:
-            phi.update(zip(new, np.c_[explicit([every[i] for i in new]) @ root, np.ones(len(new))]))
-        x = np.array([phi[i] for i in ids])
-        t = np.r_[-np.ones(len(negatives)), np.ones(len(positives))]
-        cost = np.sqrt(np.array([*negatives.values(), *positives.values()], float))
+        x = np.array([phi[w] for w in negative + positive])
+        t = np.r_[-np.ones(len(negative)), np.ones(len(positive))]
+        cost = np.r_[[np.sqrt(df[0][w]) for w in negative], [np.sqrt(df[1][w]) for w in positive]]
         cost[t > 0] *= min(20.0, cost[t < 0].sum() / cost[t > 0].sum())
         w = _svm(x, t, cost)
+        # The witnesses of each toxic document: its words beyond the margin; else its best one.
+        margin = {u: float(v @ w) for u, v in phi.items() if u in odds}
+        good = []
+        for s, toxic, o in zip(sets, y, one):
+            if toxic and o and (own := sorted(((margin[u], u) for u in s if u in margin and odds[u] > np.log(4)), reverse=True)):
+                good += [u for m, u in own if m > 0 and evidence[u] > 2]
+        good = sorted(set(good))
         model.table = (rows @ (root @ w[:-1])).astype(np.float32)[place]
         model.bias = float(w[-1])
-        value = model.margins(every)
-        # A toxic document's sentence is positive for a word beyond the margin that clean documents have less.
-        positive_now = (value > 0) & (proof > 2) & np.array([odds.get(x, -9.0) > np.log(4) for x in every])
     known: dict[str, float] = {}
     split = [units(t) for t in texts]
     words = list({u for d in split for u in d})
