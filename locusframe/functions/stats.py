@@ -153,25 +153,65 @@ def states(z: Column, se: Column, imputed: Column) -> Column:
     )
 
 
-#: Reported populations, first match wins.
-SUPER_POPULATIONS = [
-    ("AFR", ["african", "black", "afr"]),
-    ("EAS", ["east asian", "chinese", "japanese", "korean", "eas"]),
-    ("SAS", ["south asian", "indian", "pakistani", "bangladeshi", "sas"]),
-    ("AMR", ["hispanic", "latino", "admixed american", "amr"]),
-    ("EUR", ["european", "white", "british", "finnish", "eur"]),
-]
+#: What reported populations contain, in lower case, and what they stand for; first match wins.  Fixed values of the reports.
+REPORTED = [
+    ("european", "EUR"), ("europe", "EUR"), ("sardinian", "EUR"), ("east asian", "EAS"), ("japanese", "EAS"), ("chinese", "EAS"), ("korean", "EAS"), ("african", "AFR"),
+    ("hispanic", "AMR"), ("latin", "AMR"), ("south asian", "SAS"), ("indian", "SAS"), ("iranian", "MID"), ("middle east", "MID"), ("north africa", "NAF"),
+    ("mixed", None), ("trans-ethnic", None), ("admixed", None),
+]
+#: Exact labels of ancestries; fixed values.
+ANCESTRIES = {
+    "afr": "AFR", "african": "AFR", "amr": "AMR", "american": "AMR", "admixed american": "AMR", "ad mixed american": "AMR", "eas": "EAS", "east asian": "EAS",
+    "eur": "EUR", "european": "EUR", "mid": "MID", "middle eastern": "MID", "naf": "NAF", "north african": "NAF", "sas": "SAS", "south asian": "SAS",
+}
 
 
 def super_population(reported: Column) -> Column:
+    """Of a free text; null if nothing is found, or if it is mixed."""
     text = F.lower(F.trim(reported))
-    out = F.lit(None).cast("string")
-    for name, patterns in reversed(SUPER_POPULATIONS):
-        hit = F.lit(False)
-        for pattern in patterns:
-            hit = hit | text.contains(pattern)
-        out = F.when(hit, name).otherwise(out)
-    return out
+    cases = F.when(text == "", None)
+    for part, name in REPORTED:
+        cases = cases.when(text.contains(part), F.lit(name).cast("string"))
+    return cases.otherwise(None)
+
+
+def canonical_ancestry(label: Column) -> Column:
+    """Of a label as a whole; underscores and hyphens are spaces."""
+    text = F.lower(F.trim(F.regexp_replace(label, r"[\s_-]+", " ")))
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ANCESTRIES.items() for x in pair]), text)
+
+
+def analysis_label(label: Column, analysis_id: Column) -> Column:
+    return F.coalesce(F.nullif(label, F.lit("")), analysis_id)
+
+
+def se_float16(se: Column) -> Column:
+    """Rounded to the nearest half-precision number, ties to even; from 65,520 on infinite."""
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(se)), F.lit(-14)) - 10)
+    return F.when(se == 0, 0.0).when(se >= 65520, float("inf")).when(se >= SE_LIMIT, SE_LIMIT).otherwise(F.rint(se / step) * step)
+
+
+def se_residual_code(se: Column, eaf: Column, intercept: Column, slope: Column, step: float) -> Column:
+    """Steps of log(se) from what an analysis's fit predicts, or null where that is beyond one byte."""
+    code = F.rint((F.log(se) - (intercept + slope * F.log(2 * eaf * (1 - eaf)))) / step)
+    return F.when((eaf > 0) & (eaf < 1) & code.between(-126, 127), code.cast("int"))
+
+
+def eaf_residual(eaf: Column, baseline: Column, step: float) -> Column:
+    """Steps of logit(eaf) from the variant's baseline."""
+    return F.rint((logit(eaf) - logit(baseline)) / step)
+
+
+MISSING_N = (1 << 32) - 1
+
+
+def encoded_n(n: Column) -> Column:
+    """A whole sample size, with a code for none."""
+    return F.when(n.isNull() | (n < 0) | (n >= MISSING_N), F.lit(MISSING_N)).otherwise(F.rint(n).cast("long"))
+
+
+def decoded_n(code: Column) -> Column:
+    return F.when(code != MISSING_N, code.cast("double"))
 
 
 BUILDS = {"hg19": "GRCh37", "grch37": "GRCh37", "b37": "GRCh37", "37": "GRCh37", "hg38": "GRCh38", "grch38": "GRCh38", "b38": "GRCh38", "38": "GRCh38"}

@@ -129,3 +129,33 @@ def completion_rollup(quality: DataFrame) -> DataFrame:
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(F.expr(f"cast(width_bucket({value}, {low}D, {high}D, {bins}) as long)").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def info_dispositions(rows: DataFrame, by: list[str], threshold: float | None) -> DataFrame:
+    """Of declared scores (score, status as of stats.imputation_score): what became of each row, long counts.  threshold None: none is dropped."""
+    usable = F.col("status").isin("usable", "out_of_range")
+    below = F.lit(False) if threshold is None else usable & (F.col("score") < threshold)
+    n = lambda c: F.count(F.when(c, 1))
+    kinds = [n(F.col("status") == k).alias(k) for k in ("missing", "malformed", "nonfinite", "out_of_range")]
+    return rows.groupBy(*by).agg(F.count("*").alias("observed"), n(~below).alias("retained"), n(below).alias("below_threshold"), *kinds, n(usable).alias("usable"))
+
+
+def region_summary(regions: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(kind, n): rows by kind, and analyses with and without a region of their own or a trait position."""
+    own = regions.where(F.col("kind").isin("cis", "significant_trans")).select("analysis_index").distinct().withColumn("own", F.lit(True))
+    has = F.coalesce("own", F.lit(False)) | (F.col("trait_chr").isNotNull() & F.col("trait_bp").isNotNull())
+    per = analyses.join(own, "analysis_index", "left").groupBy(F.when(has, "analyses_with_region").otherwise("analyses_without_region").alias("kind")).agg(F.count("*").alias("n"))
+    return regions.groupBy("kind").agg(F.count("*").alias("n")).unionByName(per)
+
+
+def ranked_pairs(matrix: DataFrame, k: int, ascending: bool = False) -> DataFrame:
+    """The k pairs of largest (or smallest) rho, ties by pair."""
+    first = F.asc("rho") if ascending else F.desc("rho")
+    return matrix.where("rho IS NOT NULL").orderBy(first, "i", "j").limit(k)
+
+
+def strongest_partner(matrix: DataFrame) -> DataFrame:
+    """(analysis_index, n_pairs, partner, rho): of each analysis the partner of largest |rho|."""
+    both = matrix.unionByName(matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "rho", "n_null")).where("rho IS NOT NULL")
+    best = F.max_by(F.struct("j", "rho"), F.struct(F.abs("rho"), -F.col("j"))).alias("b")
+    return both.groupBy(F.col("i").alias("analysis_index")).agg(F.count("*").alias("n_pairs"), best).select("analysis_index", "n_pairs", F.col("b.j").alias("partner"), F.col("b.rho").alias("rho"))

@@ -130,3 +130,26 @@ def to_impute(analyses: DataFrame, ancestry: str) -> DataFrame:
     if match.isEmpty():
         raise ValueError(f"no analysis is of ancestry {ancestry}")
     return match
+
+
+def routing(rows: DataFrame, least_variants: int = 500_000, least_autosomes: int = 22, most_share: float = 0.2) -> DataFrame:
+    """rows (assigned_ancestry, reported_population and those of coverage) with the ancestry to use, where it is from, and eligibility."""
+    from ..functions.stats import super_population
+
+    known = F.col("assigned_ancestry").isNotNull() & ~F.col("assigned_ancestry").isin("", "Unassigned")
+    reported = super_population(F.col("reported_population"))
+    spread = (F.col("n_autosomes") >= least_autosomes) & (F.col("frac_largest") <= most_share)
+    low = ~((F.col("total_variants") >= least_variants) & spread)
+    own = rows.withColumn("routing_ancestry", F.coalesce(F.when(known, F.col("assigned_ancestry")), reported, F.lit("")))
+    source = F.when(known, "af-assigned").when(F.col("routing_ancestry") != "", "reported-fallback").otherwise("")
+    return own.withColumn("routing_source", source).withColumn("genome_distributed", spread).withColumn("low_coverage", low).withColumn("store_eligible", (F.col("routing_ancestry") != "") & ~low)
+
+
+def subset_catalogue(catalogue: DataFrame, ancestry: str, stored_effect_scale: str, original_sd_method: str, original_sd: float | None = None) -> DataFrame:
+    """Catalogue rows assigned to exactly this ancestry, stamped with what a build manifest needs."""
+    if "assigned_ancestry" not in catalogue.columns:
+        raise ValueError("the catalogue lacks assigned_ancestry")
+    rows = catalogue.where(F.col("assigned_ancestry") == ancestry)
+    own = F.nullif(F.col("ancestry_assignment_method"), F.lit("")) if "ancestry_assignment_method" in catalogue.columns else F.lit(None).cast("string")
+    stamped = {"ancestry_assignment_method": F.coalesce(own, F.lit("af_assigned")), "stored_effect_scale": F.lit(stored_effect_scale), "original_sd_method": F.lit(original_sd_method)}
+    return rows.withColumns(stamped | {"original_sd": F.lit("" if original_sd is None else str(original_sd))})

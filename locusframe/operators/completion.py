@@ -67,14 +67,13 @@ def cross_validated(x: np.ndarray, y: np.ndarray, options: Options, n_alphas: in
 
 
 def ratio_outliers(truth: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-    """True for points to keep: within three standard deviations of the mean ratio, in two passes."""
+    """True for points to keep: within three standard deviations of the median ratio, in two passes."""
     keep = (predicted != 0) & np.isfinite(truth)
+    ratio = np.where(keep, truth / np.where(predicted == 0, 1, predicted), np.nan)
     for _ in range(2):
-        ratio = np.where(predicted != 0, truth / np.where(predicted == 0, 1, predicted), np.nan)
-        sd = np.nanstd(ratio[keep]) if keep.any() else 0.0
-        if not sd > 0:
+        if keep.sum() < 2 or not (sd := np.std(ratio[keep])) > 0:
             break
-        keep &= np.abs(ratio - np.nanmean(ratio[keep])) <= 3 * sd
+        keep &= np.abs(ratio - np.median(ratio[keep])) <= 3 * sd
     return keep
 
 
@@ -88,10 +87,11 @@ def block_z(z: np.ndarray, vectors: np.ndarray, options: Options = Options()) ->
     if keep.sum() < options.degree + 1 or np.ptp(fitted[seen][keep]) == 0:
         return None, float("nan")
     scaled = np.polyval(np.polyfit(fitted[seen][keep], z[seen][keep], options.degree), fitted)
+    # The correlation is that of the points the scale was fitted on, before they are clamped.
+    own, truth = scaled[seen][keep], z[seen][keep]
+    r = float(np.corrcoef(own, truth)[0, 1]) if np.ptp(own) > 0 and np.ptp(truth) > 0 else float("nan")
     most = np.abs(z[seen]).max()
-    scaled = np.clip(scaled, -most, most)
-    r = float(np.corrcoef(scaled[seen], z[seen])[0, 1]) if np.ptp(scaled[seen]) > 0 else float("nan")
-    return (scaled, r) if r >= options.least_r else (None, r)
+    return (np.clip(scaled, -most, most), r) if r >= options.least_r else (None, r)
 
 
 def scalar_n_se(se: np.ndarray, eaf: np.ndarray, reference: np.ndarray) -> np.ndarray:

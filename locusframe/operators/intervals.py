@@ -73,3 +73,57 @@ def block_ends(blocks: DataFrame) -> DataFrame:
     after = blocks.select("chromosome", F.col("start").alias("end"), F.col("block_id").alias("successor"))
     pairs = blocks.join(after, ["chromosome", "end"]).where("block_id <> successor")
     return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.min("successor").alias("successor")).where("n = 1").select("block_id", "successor")
+
+
+def ceded(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """(block_id, successor, alid): variants at a block's end that the one block starting there holds too, and owns.
+
+    blocks: as of block_ends; members: (block_id, position, alid).
+    """
+    ends = block_ends(blocks).join(blocks.select("block_id", F.col("end").alias("position")), "block_id")
+    mine = ends.join(members, ["block_id", "position"])
+    theirs = members.select(F.col("block_id").alias("successor"), "position", "alid")
+    return mine.join(theirs, ["successor", "position", "alid"]).select("block_id", "successor", "alid")
+
+
+def block_observations(rows: DataFrame, members: DataFrame, least: int = 4) -> DataFrame:
+    """(block_id, analysis_index, n): analyses with at least this many observations at a block's variants (block_id, alid)."""
+    return rows.join(members.select("block_id", "alid"), "alid").groupBy("block_id", "analysis_index").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def lifted_allele_faults(lifted_sites: DataFrame, reference: DataFrame) -> DataFrame:
+    """Lifted sites whose pair of alleles (a1, a2) the reference has none of at that place; places it doesn't know pass.
+
+    reference: (chromosome, position, a1, a2).
+    """
+    pair = F.concat_ws("/", F.least("a1", "a2"), F.greatest("a1", "a2"))
+    known = reference.groupBy(F.col("chromosome").alias("new_chromosome"), F.col("position").alias("new_position")).agg(F.collect_set(pair).alias("pairs"))
+    return lifted_sites.join(known, ["new_chromosome", "new_position"]).where(~F.array_contains("pairs", pair)).drop("pairs")
+
+
+def lifted_trait_positions(lifted_sites: DataFrame) -> DataFrame:
+    """Trait positions after a lift; blank where it fails or leaves the chromosome."""
+    same = F.col("new_chromosome") == F.col("chromosome")
+    return lifted_sites.withColumn("trait_chr", F.when(same, F.col("chromosome"))).withColumn("trait_bp", F.when(same, F.col("new_position")))
+
+
+def lift_reasons(lifted_sites: DataFrame, primary: list[str]) -> DataFrame:
+    """Rows with why a lift loses them (unmapped, off_primary), or null."""
+    reason = F.when(F.col("new_position").isNull(), "lift_unmapped").when(~F.col("new_chromosome").isin(primary), "lift_off_primary")
+    return lifted_sites.withColumn("reason", reason)
+
+
+def union_axis(variants: DataFrame, panel: DataFrame) -> DataFrame:
+    """The variants of a release and its panel (alid, chromosome, position, effect_allele, other_allele); names carry over, and on_panel marks what may be filled."""
+    keys = ["alid", "chromosome", "position", "effect_allele", "other_allele"]
+    own = variants.select(*keys, "rsid").withColumn("_own", F.lit(True))
+    theirs = panel.select(*keys).dropDuplicates(["alid"]).withColumn("on_panel", F.lit(True))
+    new = theirs.join(own.select("alid"), "alid", "left_anti").withColumn("rsid", F.lit(".")).select(*keys, "rsid", "on_panel")
+    old = own.join(theirs.select("alid", "on_panel"), "alid", "left").select(*keys, "rsid", F.coalesce("on_panel", F.lit(False)).alias("on_panel"))
+    return old.unionByName(new)
+
+
+def off_reference_keys(sources: DataFrame, reference: DataFrame) -> DataFrame:
+    """(key, assemblies): distinct keys (key, assembly number) that the reference lacks, with a bit for each declaring assembly."""
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(assembly as int))")).alias("assemblies")
+    return sources.groupBy("key").agg(bits).join(reference.select("key"), "key", "left_anti")

@@ -111,3 +111,42 @@ def hybrid(dense: DataFrame, to_shared: DataFrame, overflow: DataFrame) -> DataF
 def on_panel(variants: DataFrame, to_shared: DataFrame) -> DataFrame:
     shared = to_shared.select(F.col("shared_index").alias("variant_index"), F.lit(True).alias("on_panel"))
     return variants.join(shared, "variant_index", "left").withColumn("on_panel", F.coalesce("on_panel", F.lit(False)))
+
+
+def in_genomic_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("analysis_index", "variant_index")
+
+
+def taken(rows: DataFrame, places: DataFrame, place: str = "place") -> DataFrame:
+    """Rows at the given places, as often and in the order (ordinal) in which these are named."""
+    return rows.join(places.select(place, "ordinal"), place).orderBy("ordinal").drop("ordinal")
+
+
+def cells(rows: DataFrame, analyses: DataFrame | None = None, variants: DataFrame | None = None, pairs: DataFrame | None = None, every_pair: bool = False) -> DataFrame:
+    """A region: of analyses, of variants, of both crossed, or of pairs.  every_pair: reading a pair that has no row raises."""
+    if pairs is not None:
+        wanted = pairs.select("variant_index", "analysis_index").distinct()
+        if not every_pair:
+            return of_pairs(rows, wanted)
+        own = rows.withColumn("_there", F.lit(True))
+        got = wanted.join(own, ["variant_index", "analysis_index"], "left")
+        what = F.concat_ws(" ", F.lit("no association"), F.col("variant_index").cast("string"), F.col("analysis_index").cast("string"))
+        return got.where(F.when(F.col("_there"), True).otherwise(F.raise_error(what).cast("boolean"))).drop("_there")
+    if variants is not None:
+        rows = of_variants(rows, variants)
+    return rows if analyses is None else of_analyses(rows, analyses)
+
+
+def windows(rows: DataFrame, stretch: int) -> DataFrame:
+    """Rows with the number of the stretch of variants they are in; a stretch is read by its own predicate, in bounded memory."""
+    return rows.withColumn("window", F.floor(F.col("variant_index") / stretch))
+
+
+def aliases(variants: DataFrame) -> DataFrame:
+    """(alias, variant_index): every name but the canonical key by which a variant is reached."""
+    return variants.where((F.col("rsid") != ".") & (F.octet_length("rsid") <= 24)).select(F.col("rsid").alias("alias"), "variant_index")
+
+
+def overflow_lookup(overflow: DataFrame, variants: DataFrame, on_panel_variants: DataFrame) -> DataFrame:
+    """What a hybrid lookup reads from the overflow: only requested variants off the panel."""
+    return of_variants(overflow, variants.join(on_panel_variants.select("variant_index"), "variant_index", "left_anti"))

@@ -49,16 +49,17 @@ def estimated(pairs: DataFrame, cut: float, least: int = 500) -> DataFrame:
     def best(a: pd.Series, b: pd.Series, c: pd.Series, n: pd.Series) -> pd.Series:
         one = 1 - grid * grid
         out = np.full(len(n), np.nan)
-        for k, (ak, bk, ck, nk) in enumerate(zip(a, b, c, n)):
-            if nk >= least:
-                loss = nk * (0.5 * np.log(one) + mass) + (ak - 2 * grid * bk + ck) / (2 * one)
-                i = int(loss.argmin())
-                if 0 < i < len(grid) - 1:  # the vertex of the parabola through the least three
-                    l, m, r = loss[i - 1 : i + 2]
-                    step = 0.5 * (l - r) / (l - 2 * m + r)
-                    out[k] = grid[i] + step * (grid[1] - grid[0])
-                else:
-                    out[k] = grid[i]
+        enough = np.flatnonzero((n >= least).to_numpy())
+        for at in range(0, len(enough), 500):
+            k = enough[at : at + 500]
+            ak, bk, ck, nk = (x.to_numpy(float)[k][:, None] for x in (a, b, c, n))
+            loss = nk * (0.5 * np.log(one) + mass) + (ak - 2 * grid * bk + ck) / (2 * one)
+            i = np.clip(loss.argmin(1), 1, len(grid) - 2)
+            l, m, r = (loss[np.arange(len(k)), i + d] for d in (-1, 0, 1))
+            # The vertex of the parabola through the least three.
+            inner = (m <= l) & (m <= r) & (l - 2 * m + r > 0)
+            step = np.where(inner, 0.5 * (l - r) / np.where(inner, l - 2 * m + r, 1), np.sign(l - r))
+            out[k] = grid[i] + step * (grid[1] - grid[0])
         return pd.Series(out)
 
     rho = F.when(F.col("n_null") >= least, best("s_ii", "s_ij", "s_jj", "n_null"))
@@ -74,9 +75,10 @@ def row(matrix: DataFrame, analysis_index: int) -> DataFrame:
 def pairs_of(matrix: DataFrame, wanted: DataFrame) -> DataFrame:
     """Unordered pairs of a request (ordinal, analysis_index), in its order; an analysis and itself is no pair."""
     a, b = (wanted.select(F.col("ordinal").alias(f"o{x}"), F.col("analysis_index").alias(x)) for x in "ab")
-    pairs = a.join(F.broadcast(b), F.col("oa") < F.col("ob")).where("a <> b")
-    keyed = pairs.withColumn("i", F.least("a", "b")).withColumn("j", F.greatest("a", "b"))
-    return keyed.join(matrix, ["i", "j"]).orderBy("oa", "ob").select("a", "b", "rho", "n_null")
+    both = matrix.unionByName(matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "rho", "n_null"))
+    # The matrix is met from either end, so the request is never joined with itself.
+    keyed = both.join(a, both.i == a.a).join(b, both.j == b.b).where("oa < ob")
+    return keyed.orderBy("oa", "ob").select("a", "b", "rho", "n_null")
 
 
 def symmetric(matrix: DataFrame, analyses: DataFrame) -> DataFrame:

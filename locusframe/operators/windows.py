@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
 
@@ -21,13 +25,19 @@ def thinned(variants: DataFrame, window: int = 15_000) -> DataFrame:
     return variants.groupBy("chromosome", F.floor(F.col("position") / window).alias("w")).agg(first).select("chromosome", "v.*")
 
 
-def bottom_k(rows: DataFrame, by: str, key: str, k: int) -> DataFrame:
-    """k rows of each group with the smallest hash of ``key``, and whether there were more; ties by key.
+@F.pandas_udf(BinaryType())
+def site_hash(key: pd.Series) -> pd.Series:
+    """Eight bytes that compare like the unsigned hash they hold."""
+    return key.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).digest())
+
+
+def bottom_k(rows: DataFrame, by: str, key: str, k: int, order: str, hashed: Column | None = None) -> DataFrame:
+    """k rows of each group with the smallest hash of ``key`` (site_hash unless given), and whether there were more; ties by source order.
 
     The group limit is applied before the shuffle too, so a large group sends k rows a task.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(key))
-    kept = hashed.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_h", key))).where(F.col("_n") <= k)
+    own = rows.withColumn("_h", site_hash(key) if hashed is None else hashed)
+    kept = own.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_h", order))).where(F.col("_n") <= k)
     offered = rows.groupBy(by).agg(F.count("*").alias("offered"))
     return kept.drop("_h", "_n").join(offered, by).withColumn("sampled", F.col("offered") > k)
 

@@ -60,14 +60,15 @@ def build(sources: DataFrame, analyses: DataFrame, path: str, layout: str = "den
     judged = admission.judged(sources.withColumn("fault", fault), rules)
     clean = judged.where("reason IS NULL").withColumn("chromosome", V.chromosome(F.col("chromosome")))
     axis = site_union(clean)
-    on, _ = routed(clean, axis)
-    placed = on.join(F.broadcast(analyses.select("analysis_id", "analysis_index")), "analysis_id")
+    on, off = routed(clean, axis)
+    placed = on.join(analyses.select("analysis_id", "analysis_index"), "analysis_id")
     own = placed.select("analysis_index", "variant_index", "z", "se", "eaf", F.struct("source", "row").alias("row_order"))
     kept = admission.collapsed(own, ["analysis_index", "variant_index"]).drop("n_rows").withColumn("status", F.lit("observed"))
     with Store.staging(spark, path, Manifest(layout=layout, **manifest)) as release:
         release.write("variants", axis, order=["variant_index"])
         release.write("analyses", analyses)
-        release.write("admission", admission.counts(judged, ["analysis_id"]))
+        unplaced = off.select("analysis_id", "reason")
+        release.write("admission", admission.counts(judged.select("analysis_id", "reason").unionByName(unplaced), ["analysis_id"]))
         variants = release.read("variants")
         if layout == "hybrid":
             on_panel = variants.join(panel.select("alid").distinct(), "alid", "left_semi").select("variant_index")

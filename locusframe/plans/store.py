@@ -93,10 +93,15 @@ class Store:
             out = fs.create(_path(spark, f"{temporary}/manifest.json")[0])
             out.write(bytearray(json.dumps(asdict(manifest), indent=1).encode()))
             out.close()
-            if overwrite and fs.exists(final):
-                fs.delete(final, True)
+            # A release that is replaced is set aside until the new one stands.
+            old = _path(spark, f"{path.rstrip('/')}.old.{uuid.uuid4().hex}")[0]
+            replaced = overwrite and fs.exists(final) and fs.rename(final, old)
             if not fs.rename(_path(spark, temporary)[0], final):
+                if replaced:
+                    fs.rename(old, final)
                 raise FileExistsError(path)
+            if replaced:
+                fs.delete(old, True)
         except BaseException:
             fs.delete(_path(spark, temporary)[0], True)
             raise
@@ -187,7 +192,15 @@ class Store:
         from ..operators.windows import thinned
 
         rows = reads.of_variants(self.associations(), thinned(self.variants(), window))
-        rho.estimated(rho.statistics(rows, cut), cut, least).write.mode("overwrite").parquet(f"{self.path}/rho")
+        # Beside the release's own tables: written apart and renamed, so that readers see one matrix or the other.
+        temporary = f"{self.path}/rho.tmp.{uuid.uuid4().hex}"
+        rho.estimated(rho.statistics(rows, cut), cut, least).write.parquet(temporary)
+        final, fs = _path(self.spark, f"{self.path}/rho")
+        old = _path(self.spark, f"{self.path}/rho.old.{uuid.uuid4().hex}")[0]
+        replaced = fs.exists(final) and fs.rename(final, old)
+        fs.rename(_path(self.spark, temporary)[0], final)
+        if replaced:
+            fs.delete(old, True)
 
     def build_subset(self, name: str, alids: DataFrame, overflow_only: str = "refuse") -> None:
         """A named copy of the rows of some variants.  overflow_only: what to do with wanted variants that only the overflow has, refuse or skip."""

@@ -50,7 +50,9 @@ def _orphans(key: str, table: str) -> Callable:
 
 
 def _tiers(store) -> DataFrame:
-    got = tier_differences(store.table("associations"), store.table("associations_tiers"), 5e-4)
+    names = ["associations", *(["overflow"] if store.manifest.layout == "hybrid" else [])]
+    parts = [tier_differences(store.table(n), store.table(f"{n}_tiers"), 5e-4).withColumn("table", F.lit(n)) for n in names]
+    got = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return got.where("differences > 0")
 
 

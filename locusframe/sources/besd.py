@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import stats as S
@@ -75,12 +76,24 @@ class BesdSource(DataSource):
         return BesdReader(dict(self.options))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, place): the lines of one file, numbered from 0.
+
+    Splits number their own lines; what stands before a split is the sum of the counts of the
+    splits before it, one row for each.
+    """
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select("value", block.alias("_at"), F.monotonically_increasing_id().alias("_k"))
+    per = lines.groupBy("_at").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.select("_at", "_first", before.alias("_before"))
+    return lines.join(starts, "_at").select("value", (F.col("_k") - F.col("_first") + F.col("_before")).cast("int").alias("place"))
+
+
 def besd(spark: SparkSession, prefix: str) -> DataFrame:
     """probe_id and the common columns for each stored value; the first allele of .esi is the effect."""
     spark.dataSource.register(BesdSource)
-    read = lambda end: spark.read.text(f"{prefix}.{end}").withColumn("k", F.monotonically_increasing_id()).withColumn("c", F.split("value", r"\s+"))
-    # Row numbers of the two tables are their order; as text files of one partition each.
-    esi, epi = (read(end).coalesce(1).withColumn("place", F.col("k").cast("int")) for end in ("esi", "epi"))
+    esi, epi = (numbered_lines(spark, f"{prefix}.{end}").withColumn("c", F.split("value", r"\s+")) for end in ("esi", "epi"))
     position = F.col("c")[3].try_cast("int")
     sites = esi.select(
         F.col("place").alias("esi_row"), V.chromosome(F.col("c")[0]).alias("chromosome"), position.alias("position"), V.allele(F.col("c")[5]).alias("ref"), V.allele(F.col("c")[4]).alias("alt"),

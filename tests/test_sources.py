@@ -103,3 +103,15 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/rows").count() == 1
     got = {r.reason: r.n for r in spark.read.parquet(f"{tmp_path}/out/counts").collect()}
     assert got == {"admitted": 1, "se_unusable": 1, "z_nonfinite": 1}
+
+
+def test_lines_of_several_splits_are_numbered(spark, tmp_path):
+    put(tmp_path / "x.esi", "".join(f"line {i}\n" for i in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = besd.numbered_lines(spark, f"file://{tmp_path}/x.esi")
+        assert spark.read.text(f"file://{tmp_path}/x.esi").rdd.getNumPartitions() > 4
+        assert {(r.value, r.place) for r in lines.collect()} == {(f"line {i}", i) for i in range(2000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -70,3 +70,36 @@ def test_ancestry_filter(spark):
     assert ancestry.to_impute(analyses.withColumn("assigned_ancestry", F.lit(None).cast("string")), "EUR").count() == 3
     with pytest.raises(ValueError):
         ancestry.to_impute(analyses, "SAS")
+
+
+def test_ratio_outliers_use_the_median():
+    rng = np.random.default_rng(3)
+    predicted = rng.uniform(1, 2, 200)
+    truth = predicted * (1 + 0.01 * rng.standard_normal(200))
+    truth[:2] = 1e3, -5.0
+    keep = completion.ratio_outliers(truth, predicted)
+    assert not keep[:2].any() and keep[2:].mean() > 0.95
+    assert not completion.ratio_outliers(np.array([1.0, 2.0]), np.zeros(2)).any()
+
+
+def test_bottom_k_by_site_hash(spark):
+    import hashlib
+
+    from locusframe.operators import windows
+
+    rows = [(i % 3, f"1:{i}:A:C", i) for i in range(90)] + [(0, "1:0:A:C", 500)]
+    got = windows.bottom_k(spark.createDataFrame(rows, "g int, alid string, nth int"), "g", "alid", 5, "nth").collect()
+    for g in range(3):
+        own = sorted((hashlib.blake2b(a.encode(), digest_size=8).digest(), n, a) for h, a, n in rows if h == g)[:5]
+        assert {(r.alid, r.nth) for r in got if r.g == g} == {(a, n) for _, n, a in own}
+        assert all(r.sampled and r.offered == sum(h == g for h, *_ in rows) for r in got if r.g == g)
+
+
+def test_regions_of_pairs_are_whole(spark):
+    from locusframe.operators import reads
+
+    rows = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.1)], "variant_index long, analysis_index long, z double")
+    pairs = spark.createDataFrame([(1, 1), (3, 1)], "variant_index long, analysis_index long")
+    assert reads.cells(rows, pairs=pairs).count() == 1
+    with pytest.raises(Exception, match="no association 3 1"):
+        reads.cells(rows, pairs=pairs, every_pair=True).collect()
