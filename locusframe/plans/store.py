@@ -134,9 +134,10 @@ class Store:
         return reads.observed_only(rows.where(F.lit(False) if index is None else F.col("analysis_index") == index), observed_only)
 
     def phewas(self, identifier: str, observed_only: bool = False) -> DataFrame:
-        row = reads.resolved(self.variants(), [identifier], every=False).select("variant_index").first()
+        named = (F.col("alid") == identifier) | ((F.col("rsid") == identifier) & (F.col("rsid") != ".") & (F.octet_length("rsid") <= 24))
+        index = self.variants().where(named).agg(F.min("variant_index")).first()[0]
         rows = self.associations(by_variant=True)
-        return reads.observed_only(rows.where(F.lit(False) if row is None else F.col("variant_index") == row[0]), observed_only)
+        return reads.observed_only(rows.where(F.lit(False) if index is None else F.col("variant_index") == index), observed_only)
 
     def range_phewas(self, chromosome: str, start: int, end: int, observed_only: bool = False) -> DataFrame:
         """The range's variants are a stretch of the axis, so the scan is bounded by their numbers."""
