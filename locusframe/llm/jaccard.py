@@ -327,7 +327,8 @@ def _alone(texts: DataFrame, batches, k: int, sample: int, total: int, most: int
     """(cls, u): how many (of a ``sample``-th) of a class's shingles no other class has.
 
     A worker hands on, for each part of the hashes' range, packed arrays of hashes and classes;
-    of a shingle that several of its classes have, only two.  total: shingles of all classes;
+    of a shingle that several of its classes have, only two.  Counts by class are packed
+    likewise until they are added up.  total: shingles of all classes;
     most: in a part.
     """
     parts = max(1, math.ceil(total / sample / most))
@@ -372,10 +373,19 @@ def _alone(texts: DataFrame, batches, k: int, sample: int, total: int, most: int
         start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         alone = np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)
         cls, u = np.unique(c[start[alone]], return_counts=True)
-        return pd.DataFrame({"cls": cls, "u": u})
-
-    got = texts.mapInPandas(run, "part int, h binary, c binary").groupBy("part").applyInPandas(add, "cls long, u long")
-    return got.groupBy("cls").agg(F.sum("u").alias("u"))
+        group = (cls.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        at = np.searchsorted(group[order], np.arange(parts + 1))
+        rows = [(g, cls[order[x:y]].tobytes(), u[order[x:y]].tobytes()) for g, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())) if y > x]
+        return pd.DataFrame(rows, columns=["group", "cls", "u"])
+
+    def total_of(frame: pd.DataFrame) -> pd.DataFrame:
+        cls, ids = np.unique(np.frombuffer(b"".join(frame["cls"]), np.int64), return_inverse=True)
+        u = np.bincount(ids, np.frombuffer(b"".join(frame["u"]), np.int64), len(cls))
+        return pd.DataFrame({"cls": cls, "u": u.astype(np.int64)})
+
+    got = texts.mapInPandas(run, "part int, h binary, c binary").groupBy("part").applyInPandas(add, "group int, cls binary, u binary")
+    return got.groupBy("group").applyInPandas(total_of, "cls long, u long")
 
 
 def _possible(classes: DataFrame, alone: DataFrame, share: int) -> DataFrame:
