@@ -29,7 +29,7 @@ from __future__ import annotations
 import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
@@ -41,16 +41,49 @@ from .common import cut, pieces, small_batches, space_words
 
 HELD_OUT, FOLDS = 1, 5
 START = "▁"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 @dataclass
-class Lattice:
-    """Pieces as hashes with their places in ``logp``; ``end`` and ``byte`` are places too.  sizes: lengths of pieces."""
+class Pieces:
+    """Pieces of one length, by hash: ``slots`` has 1 + the row of a piece at the hash's upper bits (0: none), rows of further pieces of a slot are ``rest``, sorted by hash."""
 
-    sizes: list[int]
+    size: int
+    shift: np.uint64
+    slots: np.ndarray
     hashes: np.ndarray
     places: np.ndarray
+    rest: np.ndarray
+
+    @staticmethod
+    def of(size: int, hashes: np.ndarray, places: np.ndarray) -> Pieces:
+        bits = max(6, int(16 * len(hashes)).bit_length())
+        shift = np.uint64(64 - bits)
+        slot = (hashes >> shift).astype(np.int64)
+        slots = np.zeros(1 << bits, np.int32)
+        _, first = np.unique(slot, return_index=True)
+        slots[slot[first]] = first + 1
+        rest = np.setdiff1d(np.arange(len(hashes)), first)
+        return Pieces(size, shift, slots, hashes, places, rest[np.argsort(hashes[rest])])
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are pieces, the pieces' places).  Most hashes end at an empty slot."""
+        own = self.slots[h >> self.shift]
+        rows = np.flatnonzero(own)
+        own, h = own[rows] - 1, h[rows]
+        same = self.hashes[own] == h
+        if len(self.rest):
+            other = np.flatnonzero(~same)
+            at = self.rest[np.minimum(np.searchsorted(self.hashes[self.rest], h[other]), len(self.rest) - 1)]
+            own[other], same[other] = at, self.hashes[at] == h[other]
+        return rows[same], self.places[own[same]]
+
+
+@dataclass
+class Lattice:
+    """Pieces by length, shortest first; ``byte`` and ``end`` are places in ``logp`` like theirs."""
+
+    pieces: list[Pieces]
     byte: np.ndarray
     end: int
     logp: np.ndarray
@@ -73,91 +106,74 @@ class Lattice:
         by: dict[int, list[int]] = defaultdict(list)
         for i in plain:
             by[len(names[i])].append(i)
-        ids = [i for of_size in by.values() for i in of_size]
-        hashes = np.concatenate([_prefix_hashes(np.array([[ord(c) for c in names[i]] for i in of_size], np.uint64))[:, -1] for of_size in by.values()])
-        return Lattice(sorted(by), hashes, np.array(ids), byte, n, logp - np.logaddexp.reduce(logp))
-
-    def _tables(self) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
-        """(multiplier, shift, slots): where pieces stand by hash; what shares a slot with another goes to the next table."""
-        if not hasattr(self, "_slots"):
-            left, out, odd = np.arange(len(self.hashes)), [], 0x9E3779B97F4A7C15
-            while len(left):
-                bits = 18 if not out else 16
-                slot = ((self.hashes[left] * np.uint64(odd)) >> np.uint64(64 - bits)).astype(np.int64)
-                table = np.zeros(1 << bits, np.int32)
-                _, first = np.unique(slot, return_index=True)
-                table[slot[first]] = left[first] + 1
-                out.append((np.uint64(odd), np.uint64(64 - bits), table))
-                left = np.delete(left, first)
-                odd = odd * 0xD1342543DE82EF95 % (1 << 64) | 1
-            self._slots = out
-            self._hashes = np.r_[np.uint64(0), self.hashes]
-        return self._slots
+        tables = [Pieces.of(size, _prefix_hashes(np.array([[ord(c) for c in names[i]] for i in ids], np.uint64).T)[-1], np.array(ids)) for size, ids in sorted(by.items())]
+        return Lattice(tables, byte, n, logp - np.logaddexp.reduce(logp))
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the hashes are pieces, the pieces' places)."""
-        at = np.zeros(len(h), np.int64)
-        for odd, shift, table in self._tables():
-            own = table[(h * odd) >> shift]
-            np.copyto(at, own, where=self._hashes[own] == h)
-        rows = np.flatnonzero(at)
-        return rows, self.places[at[rows] - 1]
-
-    def words(self, words: list[str], counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's probability; ``expected`` gets the expected uses of each piece, times ``counts``."""
+    def words(self, words: list[str], counts: np.ndarray | None = None, expected: np.ndarray | None = None, cells: int = 300_000) -> np.ndarray:
+        """Natural log of each word's probability; ``expected`` gets the expected uses of each piece, times ``counts``.  cells: characters, with those that pad, of one block."""
         out = np.zeros(len(words))
-        sizes = np.array([len(w) + 1 for w in words])
-        for n in np.unique(sizes):
-            rows = np.flatnonzero(sizes == n)
-            step = max(1, 200_000 // int(n))
-            for at in range(0, len(rows), step):
-                own = rows[at : at + step]
-                out[own] = self._alike([words[i] for i in own], int(n), None if counts is None else counts[own], expected)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            rows = order[at : at + max(1, cells // int(sizes[order[at]]))]
+            out[rows] = self._block([words[i] for i in rows], sizes[rows], None if counts is None else counts[rows], expected)
+            at += len(rows)
         return out
 
-    def _alike(self, words: list[str], n: int, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
-        chars = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
-        prefix = np.ascontiguousarray(np.concatenate([np.zeros((len(words), 1), np.uint64), _prefix_hashes(chars)], 1).T)
-        power = _BASE ** np.arange(n + 1, dtype=np.uint64)
-        forward = np.full((n + 1, len(words)), -np.inf)
+    def _block(self, words: list[str], sizes: np.ndarray, counts: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+        """Of words in descending length, so that those of at least j characters come first."""
+        longest, number = int(sizes[0]), len(words)
+        padded = np.zeros((number, longest), np.uint64)
+        padded[np.arange(longest) < sizes[:, None]] = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars = np.ascontiguousarray(padded.T)
+        prefix = np.concatenate([np.zeros((1, number), np.uint64), _prefix_hashes(chars)])
+        power = _BASE ** np.arange(longest + 1, dtype=np.uint64)
+        forward = np.full((longest + 1, number), -np.inf)
         forward[0] = 0
         edges = []
-        for j in range(1, n + 1):
-            for size in self.sizes:
-                i = j - size
+        for j in range(1, longest + 1):
+            m = int(np.searchsorted(-sizes, -j, "right"))
+            end, total = prefix[j, :m], forward[j]
+            for p in self.pieces:
+                i = j - p.size
                 if i < 0:
                     break
-                rows, place = self.find(prefix[j] - prefix[i] * power[size])
+                rows, place = p.find(end - prefix[i, :m] * power[p.size])
                 if len(rows):
-                    forward[j, rows] = np.logaddexp(forward[j, rows], forward[i, rows] + self.logp[place])
+                    total[rows] = np.logaddexp(total[rows], forward[i, rows] + self.logp[place])
                     if expected is not None:
                         edges.append((i, j, rows, place))
-            lost = np.flatnonzero(np.isneginf(forward[j]))
+            lost = np.flatnonzero(np.isneginf(total[:m]))
             if len(lost):  # no piece ends here: the character's bytes
-                for c in np.unique(chars[lost, j - 1]):
-                    rows = lost[chars[lost, j - 1] == c]
+                for c in np.unique(chars[j - 1, lost]):
+                    rows = lost[chars[j - 1, lost] == c]
                     place = self.byte[list(chr(int(c)).encode("utf-8", "surrogatepass"))]
-                    forward[j, rows] = forward[j - 1, rows] + self.logp[place].sum()
+                    total[rows] = forward[j - 1, rows] + self.logp[place].sum()
                     if expected is not None:
                         edges.append((j - 1, j, rows, np.broadcast_to(place, (len(rows), len(place)))))
+        whole = forward[sizes, np.arange(number)]
         if expected is not None:
-            backward = np.full((n + 1, len(words)), -np.inf)
-            backward[n] = 0
+            backward = np.full((longest + 1, number), -np.inf)
+            backward[sizes, np.arange(number)] = 0
+            places, uses = [], []
             for i, j, rows, place in reversed(edges):
-                weight = self.logp[place] if place.ndim == 1 else self.logp[place].sum(1)
-                backward[i, rows] = np.logaddexp(backward[i, rows], backward[j, rows] + weight)
-                use = np.exp(forward[i, rows] + weight + backward[j, rows] - forward[n, rows]) * counts[rows]
-                for k in range(1 if place.ndim == 1 else place.shape[1]):
-                    expected += np.bincount(place if place.ndim == 1 else place[:, k], use, len(expected))
-        return forward[n]
+                weight = (self.logp[place] if place.ndim == 1 else self.logp[place].sum(1)) + backward[j, rows]
+                backward[i, rows] = np.logaddexp(backward[i, rows], weight)
+                use = np.exp(forward[i, rows] + weight - whole[rows]) * counts[rows]
+                places.append(place.ravel())
+                uses.append(use if place.ndim == 1 else np.repeat(use, place.shape[1]))
+            expected += np.bincount(np.concatenate(places), np.concatenate(uses), len(expected))
+        return whole
 
 
 def _prefix_hashes(chars: np.ndarray) -> np.ndarray:
+    """Hashes of the first 1, 2 ... characters, which stand along the first axis; times an odd number, so that upper bits tell them apart."""
     out = np.zeros_like(chars)
-    h = np.zeros(len(chars), np.uint64)
-    for j in range(chars.shape[1]):
-        h = h * _BASE + chars[:, j] + np.uint64(1)
-        out[:, j] = h
+    h = np.zeros(chars.shape[1], np.uint64)
+    for j in range(len(chars)):
+        h = h * _BASE + (chars[j] + np.uint64(1)) * _MIX
+        out[j] = h
     return out
 
 
@@ -204,7 +220,7 @@ def adapted(lattice: Lattice, counts: DataFrame, rounds: int = 1, prior: float =
         rows = counts.mapInPandas(run, "place long, uses double").groupBy("place").agg(F.sum("uses").alias("uses")).collect()  # a row for each piece at most
         uses = np.exp(lattice.logp) * prior
         uses[[r.place for r in rows]] += [r.uses for r in rows]
-        lattice = Lattice(lattice.sizes, lattice.hashes, lattice.places, lattice.byte, lattice.end, np.log(uses / uses.sum()))
+        lattice = replace(lattice, logp=np.log(uses / uses.sum()))
     return lattice
 
 
