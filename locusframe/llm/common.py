@@ -7,10 +7,15 @@ are repeated rows, and get the same result each.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,11 +92,37 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16MB") ->
 
 
 def pieces(frames: Iterator[pd.DataFrame], column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
-    """The batches again, in slices of about ``most`` characters (a longer text stands alone)."""
+    """The batches again, in slices of about ``most`` characters (a longer text stands alone).
+
+    No string accessor and no grouping: both refer to themselves, and so keep the texts until garbage is collected.
+    """
     for frame in frames:
-        ends = frame[column].str.len().fillna(0).to_numpy("float64").cumsum() // most
-        for _, part in frame.groupby(ends, sort=False):
-            yield part
+        ends = np.cumsum([len(x) if isinstance(x, (str, bytes)) else 0 for x in frame[column]]) // most
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(frame)] if len(frame) else []
+        for start, stop in pairwise(cuts):
+            yield frame.iloc[start:stop]
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles among many small objects; what there is of them goes at the end, as workers take further tasks."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+
+
+def uncollected_over(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches, uncollected."""
+
+    @wraps(run)
+    def whole(frames: Iterator) -> Iterator:
+        with uncollected():
+            yield from run(frames)
+
+    return whole
 
 
 def lowered(text: Column) -> Column:

@@ -27,7 +27,6 @@ while it is worked on.  Other columns are ignored.  An empty table gives no rows
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -37,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, cut, drop, pieces, small_batches, text_key
+from .common import LOWERING, cut, drop, pieces, small_batches, text_key, uncollected
 from .suffixes import prefix_hashes, substring_hashes
 
 K = 5
@@ -521,14 +520,14 @@ def _joined(members: DataFrame, share: int, k: int, block: int, weight: int) ->
     """Links inside neighbourhoods: members (component, cls, n, z)."""
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        gc.disable()
         frame = frame.drop_duplicates("cls")
         cls = frame["cls"].to_numpy()
         sets: list[np.ndarray] = []
         for _, own in _unpacked(iter([frame[["n", "z"]]])):
             hashes, bounds = shingle_sets(own, k)
             sets += [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
-        got = linked(sets, share)
+        with uncollected():
+            got = linked(sets, share)
         linked_ = got != np.arange(len(cls))
         return pd.DataFrame({"a": cls[got[linked_]], "b": cls[linked_]})
 

@@ -26,18 +26,17 @@ without training documents all counts are 0.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, small_batches, space_words
+from .common import cut, pieces, small_batches, space_words, uncollected_over
 
 HELD_OUT, FOLDS = 1, 5
 START = "▁"
@@ -181,11 +180,15 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _is_end(words: Iterable[bytes]) -> np.ndarray:
+    return np.array([not w for w in words], bool)
+
+
 def word_counts(docs: DataFrame, most: int = 250_000) -> DataFrame:
     """(word, c) over all words of the texts; the end token is the empty word.  most: words that a worker adds up before it hands them on."""
 
+    @uncollected_over
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()
         got: Counter = Counter()
         for part in pieces(frames, "text", 2_000_000):
             for text in part["text"]:
@@ -210,7 +213,7 @@ def adapted(lattice: Lattice, counts: DataFrame, rounds: int = 1, prior: float =
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, expected = shared.value, np.zeros(len(shared.value.logp))
             for frame in frames:
-                end = frame["word"].str.len() == 0
+                end = _is_end(frame["word"])
                 expected[own.end] += frame["c"][end].sum()
                 frame = frame[~end]
                 own.words([bytes(w).decode("utf-8", "surrogatepass") for w in frame["word"]], frame["c"].to_numpy(float), expected)
@@ -250,7 +253,7 @@ def spelled(counts: DataFrame, lattice: Lattice) -> DataFrame:
         own = shared.value
         for frame in frames:
             got = own.words(_decoded(frame["word"]))
-            got[(frame["word"].str.len() == 0).to_numpy()] = own.logp[own.end]
+            got[_is_end(frame["word"])] = own.logp[own.end]
             yield frame.assign(logp=got)
 
     return counts.mapInPandas(run, "word binary, c long, logp double")
@@ -273,34 +276,44 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1,
     shared = spark.sparkContext.broadcast((known, lattice))
     unknown, ln10 = float(np.log10(0.5) - below), float(np.log(10))
 
+    @uncollected_over
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        gc.disable()
         known, lattice = shared.value
         row = TaskContext.get().partitionId() << 33
         ids: dict[bytes, int] = {}
         for part in pieces(frames, "text", 2_000_000):
-            if len(ids) > 600_000 or not ids:
+            if len(ids) > 300_000 or not ids:
                 ids = defaultdict(count().__next__)
                 base, scores, words = np.zeros(0), np.zeros(0), []
             split = [np.fromiter(map(ids.__getitem__, [*space_words(t), b""]), np.int64) for t in part["text"]]
-            new = list(ids)[len(words) :] if len(ids) > len(words) else []
+            new = list(islice(ids, len(words), None))
             words += new
             # nan: not among the broadcast words; if those are all, not in training.
             got = np.array([known.get(w, (np.nan, np.nan)) for w in new]).reshape(-1, 2)
             base, scores = np.r_[base, got[:, 0]], np.r_[scores, got[:, 1]]
-            out = []
-            for doc, no_id, at in zip(part["doc_id"], part["doc_id"].isna(), split):
+            sums = np.zeros((3, len(split)))
+            at_rows, others, times = [np.arange(row, row + len(split))], [b" %d" % r for r in range(row, row + len(split))], [np.ones(len(split), np.int32)]
+            for k, at in enumerate(split):
                 b = base[at]
                 rare = np.isnan(b)
-                out.append((row, b" %d" % row, 1, None if no_id else int(doc), len(at), int(len(at) - rare.sum()), np.nansum(b), np.nansum(scores[at])))
-                if rare.any():
-                    out += [(row, words[i], k, None, 0, 0, 0.0, 0.0) for i, k in zip(*(x.tolist() for x in np.unique(at[rare], return_counts=True)))]
-                row += 1
-            frame = pd.DataFrame(out, columns=["row", "word", "times", "doc_id", "n_tokens", "n_known", "base", "score"])
-            frame["doc_id"] = pd.array([r[3] for r in out], "Int64")
-            yield frame
+                sums[:, k] = len(at) - rare.sum(), np.nansum(b), np.nansum(scores[at])
+                which, often = np.unique(at[rare], return_counts=True)
+                at_rows.append(np.full(len(which), row + k))
+                others += map(words.__getitem__, which.tolist())
+                times.append(often.astype(np.int32))
+            row += len(split)
+            more = len(others) - len(split)
+            no_id = np.r_[part["doc_id"].isna().to_numpy(), np.ones(more, bool)]
+            yield pd.DataFrame(
+                {
+                    "row": np.concatenate(at_rows), "word": others, "times": np.concatenate(times),
+                    "doc_id": pd.arrays.IntegerArray(np.r_[part["doc_id"].fillna(0).to_numpy(np.int64), np.zeros(more, np.int64)], no_id),
+                    "n_tokens": np.r_[[len(at) for at in split], np.zeros(more, int)], "n_known": np.r_[sums[0].astype(int), np.zeros(more, int)],
+                    "base": np.r_[sums[1], np.zeros(more)], "score": np.r_[sums[2], np.zeros(more)],
+                }
+            )
 
     @F.pandas_udf("double")
     def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -311,7 +324,7 @@ def score(docs: DataFrame, vocabulary: str, hot: int = 1 << 18, rounds: int = 1,
             own = np.flatnonzero(words.notna())
             if len(own):
                 got = words.iloc[own]
-                out[own] = np.where(got.str.len() == 0, lattice.logp[lattice.end], lattice.words(_decoded(got)))
+                out[own] = np.where(_is_end(got), lattice.logp[lattice.end], lattice.words(_decoded(got)))
             yield pd.Series(out)
 
     schema = "row long, word binary, times int, doc_id long, n_tokens long, n_known long, base double, score double"

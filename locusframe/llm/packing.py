@@ -16,7 +16,6 @@ An empty table gives no pieces.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from array import array
@@ -27,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import pieces, small_batches, uncollected_over
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: White space of Unicode; Python's split() takes four control characters more.
@@ -168,10 +167,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     """
     end = np.array([end_id], "<u4").tobytes()
 
+    @uncollected_over  # a million cached strings are no garbage
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        gc.disable()  # a million cached strings are no garbage, and there are no cycles
         encode, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 33
         open_bins: dict[int, list[tuple]] = {m: [] for m in range(1, classes + 1)}
         small_fill = 0
