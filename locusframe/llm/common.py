@@ -7,6 +7,7 @@ are repeated rows, and get the same result each.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -17,6 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,14 @@ def pieces(frames: Iterator[pd.DataFrame], column: str, most: int = 8_000_000) -
     No string accessor and no grouping: both refer to themselves, and so keep the texts until garbage is collected.
     """
     for frame in frames:
-        ends = np.cumsum([len(x) if isinstance(x, (str, bytes)) else 0 for x in frame[column]]) // most
-        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(frame)] if len(frame) else []
-        for start, stop in pairwise(cuts):
-            yield frame.iloc[start:stop]
+        yield from slices(frame, np.array([len(x) if isinstance(x, (str, bytes)) else 0 for x in frame[column]], np.int64), most)
+
+
+def slices(frame: pd.DataFrame, sizes: np.ndarray, most: int) -> Iterator[pd.DataFrame]:
+    """The frame in slices of rows whose sizes add up to about ``most``."""
+    cuts = [0, *(np.flatnonzero(np.diff(sizes.cumsum() // most)) + 1), len(frame)] if len(frame) else []
+    for start, stop in pairwise(cuts):
+        yield frame.iloc[start:stop]
 
 
 @contextmanager
@@ -111,7 +117,15 @@ def uncollected() -> Iterator[None]:
         yield
     finally:
         gc.enable()
-        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """At a task's end: free memory goes back to the system, as idle workers otherwise keep what the largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def uncollected_over(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -125,6 +139,19 @@ def uncollected_over(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator]
     return whole
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; what it took is given back."""
+
+    @wraps(run)
+    def whole(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            give_back()
+
+    return whole
+
+
 def lowered(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 

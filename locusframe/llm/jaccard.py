@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, cut, drop, pieces, small_batches, text_key, uncollected
+from .common import LOWERING, cut, drop, pieces, released, slices, small_batches, text_key, uncollected
 from .suffixes import prefix_hashes, substring_hashes
 
 K = 5
@@ -275,6 +275,7 @@ def _walked(sets: list[np.ndarray], common: np.ndarray, n_values: int, share: in
 def _classes(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, key, n, cls): the class of each document's set; of empty sets, null."""
 
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(frames, "text", 2_000_000):
             hashes, bounds = shingle_sets(part["text"].tolist(), k)
@@ -301,7 +302,7 @@ def _unpacked(frames: Iterator[pd.DataFrame], most: int = 2_000_000) -> Iterator
 
     unpacker = zstandard.ZstdDecompressor()
     for frame in frames:
-        for _, part in frame.groupby(frame["n"].to_numpy("float64").cumsum() * 8 // most, sort=False):
+        for part in slices(frame, frame["n"].to_numpy() * 8, most):
             yield part, [unpacker.decompress(z).decode("utf-8", "surrogatepass") for z in part["z"]]
 
 
@@ -344,6 +345,7 @@ def _alone(texts: DataFrame, batches, k: int, sample: int, total: int, most: int
         rows = [(i, _planes(h[a:b]), c[a:b].tobytes()) for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())) if b > a]
         return pd.DataFrame(rows, columns=["part", "h", "c"])
 
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -395,6 +397,7 @@ def _possible(classes: DataFrame, alone: DataFrame, share: int) -> DataFrame:
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     """Counts of shingles by 20 bits of their hashes: four megabytes, whatever the input."""
 
+    @released
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SLOTS, np.int64)
         for _, own in _unpacked(frames):

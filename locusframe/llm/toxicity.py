@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 LENGTH, SPAN, WIDTH, SLOTS = 4, 6, 24, 1 << 20
 PATTERNS = [(0, *inner, s - 1) for s in range(LENGTH, SPAN + 1) for inner in combinations(range(1, s - 1), LENGTH - 2)]
@@ -99,8 +99,8 @@ def subsequences(words: list[str], alphabet: str, decay: float) -> Iterator[tupl
     for width in (8, 11, 14, 18, WIDTH):
         of_width = np.flatnonzero((sizes > low) & (sizes <= width))
         low = width
-        for at in range(0, len(of_width), 4096):
-            own = of_width[at : at + 4096]
+        for at in range(0, len(of_width), 1024):
+            own = of_width[at : at + 1024]
             flat = np.frombuffer("".join(words[i].ljust(width, "\0") for i in own).encode("utf-32-le", "surrogatepass"), np.uint32)
             chars = np.zeros((len(own), width + SPAN), np.int64)
             chars[:, :width] = of[flat].reshape(len(own), width)
@@ -293,7 +293,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def scorer(docs: DataFrame, model: Model, most: int = 400_000):
+def scorer(docs: DataFrame, model: Model, most: int = 200_000):
     """A function from a text column to its score, 0 to 1.  most: words whose margins a worker keeps."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -313,6 +313,8 @@ def scorer(docs: DataFrame, model: Model, most: int = 400_000):
                 x = np.array([features(np.array([known[u] for u in d])) for d in split])
                 out.append(1 / (1 + np.exp(-np.clip(x @ own.weights, -30, 30))) if own.weights.any() else np.full(len(x), own.prior))
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        known.clear()
+        give_back()
 
     return score
 
