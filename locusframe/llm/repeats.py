@@ -432,11 +432,11 @@ def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(frames, "text", 2_000_000):
             rows = []
-            for text, spans_ in zip(part["text"], part["_spans"]):
+            for text, starts, ends, odds in zip(part["text"], part["_starts"], part["_ends"], part["_odds"]):
                 data = _bytes(text) if isinstance(text, str) else b""
-                both: tuple[list, list] = ([], [])
-                for x in spans_ if spans_ is not None else ():
-                    both[x["odd"]].append((x["start"], x["end"]))
+                both: list[list] = [[], []]
+                if starts is not None:
+                    both = [list(zip(starts[odds == kind].tolist(), ends[odds == kind].tolist())) for kind in (0, 1)]
                 passages = _merged(both[1])
                 gone = both[0]
                 if passages and not keep_words:
@@ -452,12 +452,14 @@ def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot
                 # Each stretch by itself: halves of two characters may not become a third one.
                 kept = "".join(x.decode("utf-8", "ignore") for x in out) if as_text else b"".join(out)
                 rows.append((kept, len(data), removed, len(gone), len(passages), sum(b - a for a, b in passages)))
-            yield part.drop(columns="_spans").reset_index(drop=True).join(pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words"]))
+            yield part.drop(columns=["_starts", "_ends", "_odds"]).reset_index(drop=True).join(pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words"]))
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     columns = [f.name for f in fields]
     counts = "n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long"
-    return joined.select(*columns, "_spans").mapInPandas(run, f"{types}, kept {'string' if as_text else 'binary'}, {counts}")
+    # As arrays of numbers; structs would be a dict for each span.
+    parts = [F.col(f"_spans.{f}").cast("array<bigint>").alias(f"_{f}s") for f in ("start", "end", "odd")]
+    return joined.select(*columns, *parts).mapInPandas(run, f"{types}, kept {'string' if as_text else 'binary'}, {counts}")
 
 
 def query(docs: DataFrame) -> DataFrame:
