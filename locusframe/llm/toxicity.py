@@ -17,8 +17,8 @@ A document's score: logistic regression on the count and margins of its toxic wo
 on the same training documents and weighted to the labels' true shares.
 
 The sample for fitting is bounded by ``per_class`` documents of each label of at most
-``longest`` characters (by hash of doc_id), which bounds the driver's work; scoring reads
-every whole text, and a very long word by windows.  Negative instances are the 12,000 most
+``longest`` characters (by hash of doc_id), which bounds the work of the one task that trains;
+scoring reads every whole text, and a very long word by windows.  Negative instances are the 12,000 most
 frequent clean words, candidates for positive ones the 4000 of most evidence.  An empty table
 gives no rows.  Null and empty texts get the score of a document without words.
 Repeated rows get equal scores.  Without labels of both kinds all scores are the share of
@@ -27,6 +27,7 @@ toxic labels (0 without labels).  Other columns are kept by the caller.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import give_back, released, small_batches
 
 LENGTH, SPAN, WIDTH, SLOTS = 4, 6, 24, 1 << 20
 PATTERNS = [(0, *inner, s - 1) for s in range(LENGTH, SPAN + 1) for inner in combinations(range(1, s - 1), LENGTH - 2)]
@@ -200,9 +201,9 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
     y = np.array(labels, bool)
     if y.all() or not y.any():
         return Model("", np.zeros(1), -1.0, decay, np.zeros(6), share)
-    # Sentences, as lists of units; a clean document's are clean.
-    docs = [[units(s) for s in _SENTENCE.split(t)] for t in texts]
-    sets = [{x for s in d for u in s for x in windows(u) if len(x) >= LENGTH} for d in docs]
+    # The words of each document, by sentences, as single letters in a row may end with one; equal words are one object.
+    same: dict[str, str] = {}
+    sets = [{same.setdefault(x, x) for s in _SENTENCE.split(t) for u in units(s) for x in windows(u) if len(x) >= LENGTH} for t in texts]
     one = _one_of_copies([{x for x in s if x[0] != _START} or s for s in sets])
     df = (Counter(x for s, k, o in zip(sets, y, one) if o and not k for x in s), Counter(x for s, k, o in zip(sets, y, one) if o and k for x in s))
     n1, n0 = int((y & one).sum()), int((~y & one).sum())
@@ -263,11 +264,12 @@ def train(texts: list[str], labels: list[int], share: float, landmarks: int = 12
         good = sorted(set(good))
         model.table = (rows @ (root @ w[:-1])).astype(np.float32)[place]
         model.bias = float(w[-1])
+    del same, sets, phi
+    words = list({u for t in texts for u in units(t)})
     known: dict[str, float] = {}
-    split = [units(t) for t in texts]
-    words = list({u for d in split for u in d})
-    known.update(zip(words, model.margins(words)))
-    x = np.array([features(np.array([known[u] for u in d])) for d in split])
+    for at in range(0, len(words), 20_000):
+        known.update(zip(words[at : at + 20_000], model.margins(words[at : at + 20_000]).tolist()))
+    x = np.array([features(np.array([known[u] for u in units(t)])) for t in texts])
     cost = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.weights = _logistic(x, y.astype(float), cost)
     return model
@@ -283,10 +285,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int
         some = own.where((F.col("toxic") > 0) == bool(toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         taken = some if taken is None else taken.union(some)
     texts = docs.select("doc_id", "text").where((F.length("text") <= longest) & F.col("text").isNotNull())
-    # At most 2 * per_class ids are broadcast, and as many texts of at most ``longest`` characters come to the driver.
+    # At most 2 * per_class ids are broadcast, and as many texts of at most ``longest`` characters come to one task.
     got = texts.join(F.broadcast(taken), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text", "doc_id")
-    sample = got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
-    return train([r.text for r in sample], [int(r.toxic > 0) for r in sample], share)
+    sample = got.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class)
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: list[str] = []
+        marks: list[int] = []
+        for frame in frames:
+            texts += frame["text"].tolist()
+            marks += (frame["toxic"] > 0).astype(int).tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(train(texts, marks, share))]})
+
+    rows = sample.mapInPandas(released(learn), "model binary").collect()  # the driver gets the model alone
+    return pickle.loads(rows[0].model) if rows else train([], [], share)
 
 
 def fold(doc_id: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
@@ -176,6 +177,30 @@ def test_short_insults():
     assert min(model.margins([*insults, "(zq)", "XVY!".lower()])) > 0 > max(model.margins([*plain, "", "..."]))
 
 
+def test_training_is_not_the_drivers(spark, monkeypatch):
+    """The driver's memory is small, and has the whole pipeline's plans; a worker trains and returns the model."""
+    docs, labels = labelled(spark, 200)
+
+    def here(sets):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "_one_of_copies", here)
+    model = toxicity.fit(docs, labels)
+    assert model.margins(["vorqxy"])[0] > 0 and model.weights.any()
+
+
+def test_training_holds_a_word_once():
+    """Beside the texts there are sets of shared words, not every word of every sentence by itself."""
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefgh"), rng.integers(4, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(plain, 3000)) + (" vorqxy" if i % 5 == 0 else "") for i in range(100)]
+    tracemalloc.start()
+    toxicity.train(texts, [int(i % 5 == 0) for i in range(100)], 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     for own in (labels.limit(0), labels.where("toxic = 0")):
