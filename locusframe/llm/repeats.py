@@ -90,12 +90,13 @@ def _places(keys: np.ndarray) -> np.ndarray:
 
 
 _Segments = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_NONE: _Segments = (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
 
 
 def _runs_of(doc: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, h: np.ndarray) -> _Segments:
     """Segments from ranges of starts, in order: neighbouring ones of a document with the same anchor are one."""
     if not len(doc):
-        return (np.zeros(0, np.int64),) * 4
+        return _NONE
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != end[:-1])])
     last = np.r_[new[1:], len(doc)] - 1
     return doc[new], start[new], end[last] - start[new], h[new]
@@ -151,7 +152,7 @@ def byte_segments(data: np.ndarray, bounds: np.ndarray, length: int) -> _Segment
             begin = first + np.arange(strings)
             got = _runs_of(np.full(strings, d), begin, begin + 1, owner, h[owner])
             found.append((got[0], got[1] + at, *got[2:]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else _NONE
 
 
 def word_segments(codes: np.ndarray, bounds: np.ndarray, length: int) -> _Segments:
@@ -168,7 +169,7 @@ def word_segments(codes: np.ndarray, bounds: np.ndarray, length: int) -> _Segmen
         inside = start + at + length <= bounds[doc + 1]
         got = _runs_of(doc[inside], start[inside], start[inside] + 1, owner[inside], h[owner[inside]])
         found.append((got[0], got[1] + at, *got[2:]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else _NONE
 
 
 def _bytes(text: str) -> bytes:

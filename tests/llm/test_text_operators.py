@@ -124,6 +124,17 @@ def test_repeats(docs, rows, none, hot):
     assert repeats.query(none).count() == 0
 
 
+def test_repeats_where_no_text_has_white_space(spark):
+    rng = np.random.default_rng(5)
+    shared = "".join(rng.choice(list("abcdefgh"), 900))
+    rows = []
+    for i in range(12):
+        own = "".join(rng.choice(list("abcdefgh"), 1200))
+        rows.append((i, own[:600] + shared[30 * i : 30 * i + 500] + own[600:]))
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), words=51)
+    assert collected(got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) == covered(rows, 400)
+
+
 def test_without_repeats_keeps_columns_and_rows(docs, rows):
     got = repeats.without_repeats(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
