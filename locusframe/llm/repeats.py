@@ -5,7 +5,8 @@ begin with white space if it has any.  Equal strings have equal anchors at equal
 strings need to be compared only where anchors are equal.  A run of strings with the same
 anchor is a segment; segments whose anchor stands nowhere else are done.  Equal segments are
 counted, not compared.  What is left, segments that share an anchor and differ, is gathered
-into shards by anchor; a shard's suffix array is built by induced sorting (suffixes.induced),
+into shards by anchor.  Those that share what surrounds the anchor with no other are done
+too; of the rest of a shard the suffix array is built by induced sorting (suffixes.induced),
 and a string is repeated if its permuted common prefix with a neighbour in that order is as
 long as the string.
 
@@ -28,8 +29,7 @@ have the name of a result.  An empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import cut, drop, joined_evenly, pieces, small_batches, text_key
+from .common import cut, drop, joined_evenly, pieces, released, small_batches, text_key
 
 GRAM, CELL = 32, 32
+STRETCHES = 8  # of offsets of an anchor in its strings
 WORDS, WORD_GRAM = 51, 5  # least words of a passage, words of its anchor
 _BITS = 24  # of a place in a chunk
 CHUNK = 8_000_000
@@ -176,16 +177,11 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-@lru_cache(1)
-def _coder() -> Callable[[bytes], bytes]:
-    import xxhash
-
-    return lru_cache(100_000)(xxhash.xxh3_64_digest)
-
-
 def word_codes(data: bytes) -> bytes:
     """Eight bytes for each word (what stands between white space of ASCII)."""
-    return b"".join(map(_coder(), data.split()))
+    import xxhash
+
+    return b"".join(map(xxhash.xxh3_64_digest, data.split()))  # a hash costs less than to look it up
 
 
 def _word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +231,7 @@ def _occurrences(docs: DataFrame, length: int, words: int) -> DataFrame:
 
     least = min(length, 2 * words - 1) if words else length
     long_enough = docs.where(F.octet_length("text") >= least).select("_doc", "_key", "text")
-    return long_enough.mapInPandas(run, "doc long, key long, start long, strings long, h long, s long")
+    return long_enough.mapInPandas(released(run), "doc long, key long, start long, strings long, h long, s long")
 
 
 def _fetched(docs: DataFrame, needed: DataFrame, length: int, words: int) -> DataFrame:
@@ -274,7 +270,48 @@ def _fetched(docs: DataFrame, needed: DataFrame, length: int, words: int) -> Dat
         if parts:
             yield batch_of()
 
-    return docs.select("_doc", "_key", "text").join(lists, ["_doc", "_key"]).mapInArrow(run, "h long, s long, n long, doc long, key long, start long, data binary")
+    return docs.select("_doc", "_key", "text").join(lists, ["_doc", "_key"]).mapInArrow(released(run), "h long, s long, n long, doc long, key long, start long, data binary")
+
+
+def may_repeat(segments_: list[np.ndarray], anchors: np.ndarray, length: int) -> np.ndarray:
+    """True for segments that may have a string of another one (of all different ones of their anchors).
+
+    Strings whose anchor is at offsets of one stretch have a core in common, which holds the
+    anchor; where one of them stands again, so does the core.
+    """
+    import xxhash
+
+    hashed = xxhash.xxh3_64_intdigest
+    own = np.concatenate(segments_)
+    size = np.array([len(x) for x in segments_])
+    ends = np.cumsum(size)
+    starts = ends - size
+    at = np.full(len(size), -1)
+    gram = GRAM if own.dtype == np.uint8 else WORD_GRAM
+
+    def find(place: np.ndarray) -> None:
+        of = np.searchsorted(ends, place, "right")
+        inside = place + gram <= ends[of]
+        place, of = place[inside], of[inside]
+        h = byte_grams(own, place) if gram == GRAM else word_grams(own)[place]
+        hit = np.flatnonzero(h == anchors[of])[::-1]
+        at[of[hit]] = place[hit]  # the first place of several, as in the segment's strings
+
+    if gram == GRAM:
+        find(np.flatnonzero(_SPACE[own]))
+    find(np.flatnonzero(np.repeat(at < 0, size)))
+    out = at < 0
+    view = memoryview(own).cast("B")
+    unit = own.itemsize
+    step = -(-(length - gram + 1) // STRETCHES)
+    for low in range(0, length - gram + 1, step):
+        high = min(low + step - 1, length - gram)
+        which = np.flatnonzero((at - starts >= low) & (at - (ends - length) <= high) & (at >= 0))
+        first = (at[which] - low) * unit
+        core = np.array([hashed(view[a : a + (length - high + low) * unit]) for a in first.tolist()], np.uint64)
+        _, same, count = np.unique(_mixed(core + _M[1] * anchors[which]), return_inverse=True, return_counts=True)
+        out[which] |= count[same] > 1
+    return out
 
 
 def repeated(segments_: list[np.ndarray], weights: list[int], length: int) -> list[np.ndarray]:
@@ -335,7 +372,12 @@ def spans(docs: DataFrame, length: int, shard_bytes: int, hot_bytes: int, words:
             rows = []
             for odd, own in frame.groupby(frame["h"] & 1):
                 n = words if odd else length
-                got = repeated([np.frombuffer(x, np.uint64 if odd else np.uint8) for x in own["data"]], own["n"].tolist(), n)
+                data = [np.frombuffer(x, np.uint64 if odd else np.uint8) for x in own["data"]]
+                alike = np.flatnonzero(may_repeat(data, own["h"].to_numpy().view(np.uint64), n))
+                if not len(alike):
+                    continue
+                own = own.iloc[alike]
+                got = repeated([data[i] for i in alike], own["n"].tolist(), n)
                 for doc, key, start, copies, at in zip(own["doc"], own["key"], own["start"], own["n"], got):
                     if copies == 1:
                         rows += [(doc, key, start + a, start + b, bool(odd)) for a, b in _runs(at, n)]
@@ -460,7 +502,7 @@ def remove(docs: DataFrame, length: int = 400, shard_bytes: int = 1_000_000, hot
     counts = "n_bytes long, n_removed long, n_spans long, n_passages long, n_passage_words long"
     # As arrays of numbers; structs would be a dict for each span.
     parts = [F.col(f"_spans.{f}").cast("array<bigint>").alias(f"_{f}s") for f in ("start", "end", "odd")]
-    return joined.select(*columns, *parts).mapInPandas(run, f"{types}, kept {'string' if as_text else 'binary'}, {counts}")
+    return joined.select(*columns, *parts).mapInPandas(released(run), f"{types}, kept {'string' if as_text else 'binary'}, {counts}")
 
 
 def query(docs: DataFrame) -> DataFrame:

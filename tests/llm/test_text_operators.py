@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -135,6 +136,44 @@ def test_repeats_where_no_text_has_white_space(spark):
     assert collected(got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) == covered(rows, 400)
 
 
+def test_only_segments_with_a_common_core_are_sorted():
+    """Over bytes and words, with and without white space: the same strings are found among fewer segments."""
+    rng = np.random.default_rng(4)
+    for alphabet, unit, length, find in (("abcdefgh ", np.uint8, 400, repeats.byte_segments), ("abcdefgh", np.uint8, 400, repeats.byte_segments), ("abcdefgh ", np.uint64, 51, repeats.word_segments)):
+        symbols = np.frombuffer(alphabet.encode(), np.uint8).astype(unit)
+        shared = rng.choice(symbols, 2 * length)
+        texts = []
+        for i in range(60):
+            t = rng.choice(symbols, 4 * length)
+            n = length // 3 if i % 4 else rng.integers(length, 2 * length)  # of what is shared, mostly less than a string
+            low = rng.integers(0, 2 * length - n + 1)
+            t[length : length + n] = shared[low : low + n]
+            texts.append(t)
+        bounds = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+        data = np.concatenate(texts)
+        _, start, strings, anchor = find(data, bounds, length)
+        anchor = anchor.view(np.uint64)
+        _, same, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        own = np.flatnonzero(count[same] > 1)
+        segments = [data[start[i] : start[i] + strings[i] + length - 1] for i in own]
+        alike = repeats.may_repeat(segments, anchor[own], length)
+        every = repeats.repeated(segments, [1] * len(own), length)
+        some = iter(repeats.repeated([x for x, a in zip(segments, alike) if a], [1] * int(alike.sum()), length))
+        for x, a in zip(every, alike):
+            assert x.tolist() == (next(some).tolist() if a else [])
+        assert 0 < sum(len(x) > 0 for x in every) <= alike.sum() < len(own)
+
+
+def test_word_codes_keep_no_words():
+    data = " ".join(f"word{i}" for i in range(50_000)).encode()
+    repeats.word_codes(b"one")
+    tracemalloc.start()
+    assert len(repeats.word_codes(data)) == 400_000
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1e6
+
+
 def test_without_repeats_keeps_columns_and_rows(docs, rows):
     got = repeats.without_repeats(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
