@@ -128,6 +128,17 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+#: What a worker keeps for further tasks of one operator; see forget().
+KEPT: dict = {}
+
+
+def forget() -> None:
+    """At the begin of another operator's task: workers are lent to all operators, and hold nothing of the one before."""
+    if KEPT:
+        KEPT.clear()
+        give_back()
+
+
 def uncollected_over(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a task's batches, uncollected."""
 
@@ -140,10 +151,11 @@ def uncollected_over(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator]
 
 
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` over a task's batches; what it took is given back."""
+    """``run`` over a task's batches; what another operator left is forgotten, and what ``run`` took is given back."""
 
     @wraps(run)
     def whole(frames: Iterator) -> Iterator:
+        forget()
         try:
             yield from run(frames)
         finally:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERING, cut, letter_words, pieces, small_batches
+from .common import LOWERING, cut, letter_words, pieces, released, small_batches
 from .suffixes import by_doubling
 
 WINDOW, SAMPLE = 8, 16
@@ -231,7 +231,7 @@ def find(docs: DataFrame, benchmark: DataFrame, columns: list[str], remove: bool
                 yield out
 
         types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-        got = got.mapInPandas(run, f"{types}, {RESULTS}" if last else f"{schema}, _spans array<struct<first:long,end:long>>, _items array<string>")
+        got = got.mapInPandas(released(run), f"{types}, {RESULTS}" if last else f"{schema}, _spans array<struct<first:long,end:long>>, _items array<string>")
         if not last:
             got = cut(got, "decontamination")
     return got

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches, uncollected_over
+from .common import KEPT, pieces, small_batches, uncollected_over
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: White space of Unicode; Python's split() takes four control characters more.
@@ -116,15 +116,12 @@ class Encoder:
         return [b"".join(ids) for ids, _ in out]
 
 
-#: A worker's encoder outlives its tasks.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """A worker's encoder, which outlives its tasks until one of another operator comes."""
+    if path not in KEPT:
+        KEPT.clear()
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
 
 
 def cuts(n: int, capacity: int, classes: int, slack: float) -> list[int]:

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, released, small_batches
+from .common import forget, give_back, released, small_batches
 
 LENGTH, SPAN, WIDTH, SLOTS = 4, 6, 24, 1 << 20
 PATTERNS = [(0, *inner, s - 1) for s in range(LENGTH, SPAN + 1) for inner in combinations(range(1, s - 1), LENGTH - 2)]
@@ -312,6 +312,7 @@ def scorer(docs: DataFrame, model: Model, most: int = 200_000):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         own = shared.value
         known: dict[str, float] = {}
         for batch in batches:

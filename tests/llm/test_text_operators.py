@@ -3,14 +3,17 @@
 import hashlib
 import re
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontamination, fingerprints, jaccard, licenses, likelihood, packing, repeats, suffixes
+from locusframe.llm import decontamination, fingerprints, jaccard, licenses, likelihood, packing, repeats, suffixes, toxicity
+from locusframe.llm.common import released
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -500,6 +503,19 @@ def test_packing(docs, rows, none):
     assert packing.query(none).count() == 0
 
 
+def test_a_worker_forgets_its_encoder_at_another_operators_task(spark, docs):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    score = toxicity.scorer(docs, toxicity.train([], [], 0.5)).func
+    others = [released(lambda frames: frames), lambda frames: score(pd.Series(["one"]) for _ in frames)]
+    for task in others:
+        kept = weakref.ref(packing.encoder(path))
+        assert packing.encoder(path) is kept()  # its own tasks go on with it
+        list(task(iter([0])))
+        assert kept() is None
+
+
 def test_cuts_cover_every_length():
     for n in range(1, 5000):
         got = packing.cuts(n, 2048, 32, 1 / 32)
