@@ -87,8 +87,8 @@ def joined_evenly(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     return left.join(F.broadcast(hot), keys, how).unionByName(rest)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16MB") -> None:
-    """Arrow batches that hold few long texts."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4MB") -> None:
+    """Arrow batches that hold few long texts; JVM and worker hold each several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

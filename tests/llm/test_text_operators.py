@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.llm import decontamination, fingerprints, jaccard, licenses, likelihood, packing, repeats, suffixes, toxicity
-from locusframe.llm.common import released
+from locusframe.llm.common import released, small_batches
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -516,6 +516,17 @@ def test_a_worker_forgets_its_encoder_at_another_operators_task(spark, docs):
         assert kept() is None
 
 
+def test_batches_of_long_texts_are_small(spark):
+    def sizes(frames):
+        for f in frames:
+            yield pd.DataFrame({"n": [sum(map(len, f["text"]))]})
+
+    small_batches(spark)
+    docs = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("a text of ten words "), 2500).alias("text"))
+    got = [r.n for r in docs.mapInPandas(sizes, "n long").collect()]
+    assert sum(got) == 300 * 50_000 and max(got) <= 5_000_000
+
+
 def test_cuts_cover_every_length():
     for n in range(1, 5000):
         got = packing.cuts(n, 2048, 32, 1 / 32)
