@@ -86,9 +86,9 @@ def ceded(blocks: DataFrame, members: DataFrame) -> DataFrame:
     return mine.join(theirs, ["successor", "position", "alid"]).select("block_id", "successor", "alid")
 
 
-def block_observations(rows: DataFrame, members: DataFrame, least: int = 4) -> DataFrame:
-    """(block_id, analysis_index, n): analyses with at least this many observations at a block's variants (block_id, alid)."""
-    return rows.join(members.select("block_id", "alid"), "alid").groupBy("block_id", "analysis_index").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def block_observations(rows: DataFrame, members: DataFrame, least: int = 4, key: str = "alid") -> DataFrame:
+    """(block_id, analysis_index, n): analyses with at least this many observations at a block's variants (block_id, key)."""
+    return rows.join(members.select("block_id", key), key).groupBy("block_id", "analysis_index").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def lifted_allele_faults(lifted_sites: DataFrame, reference: DataFrame) -> DataFrame:
