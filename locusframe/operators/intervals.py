@@ -113,13 +113,17 @@ def lift_reasons(lifted_sites: DataFrame, primary: list[str]) -> DataFrame:
     return lifted_sites.withColumn("reason", reason)
 
 
-def union_axis(variants: DataFrame, panel: DataFrame) -> DataFrame:
-    """The variants of a release and its panel (alid, chromosome, position, effect_allele, other_allele); names carry over, and on_panel marks what may be filled."""
-    keys = ["alid", "chromosome", "position", "effect_allele", "other_allele"]
+def union_axis(variants: DataFrame, panel: DataFrame, site: tuple[str, ...] = ("alid",)) -> DataFrame:
+    """The variants of a release and its panel (alid, chromosome, position, effect_allele, other_allele); names carry over, and on_panel marks what may be filled.
+
+    site: the columns by which a variant is told from others.
+    """
+    site = [*site]
+    keys = [*site, *(c for c in ("alid", "chromosome", "position", "effect_allele", "other_allele") if c not in site)]
     own = variants.select(*keys, "rsid").withColumn("_own", F.lit(True))
-    theirs = panel.select(*keys).dropDuplicates(["alid"]).withColumn("on_panel", F.lit(True))
-    new = theirs.join(own.select("alid"), "alid", "left_anti").withColumn("rsid", F.lit(".")).select(*keys, "rsid", "on_panel")
-    old = own.join(theirs.select("alid", "on_panel"), "alid", "left").select(*keys, "rsid", F.coalesce("on_panel", F.lit(False)).alias("on_panel"))
+    theirs = panel.select(*keys).dropDuplicates(site).withColumn("on_panel", F.lit(True))
+    new = theirs.join(own.select(*site), site, "left_anti").withColumn("rsid", F.lit(".")).select(*keys, "rsid", "on_panel")
+    old = own.join(theirs.select(*site, "on_panel"), site, "left").select(*keys, "rsid", F.coalesce("on_panel", F.lit(False)).alias("on_panel"))
     return old.unionByName(new)
 
 
