@@ -23,9 +23,9 @@ def tier_differences(rows: DataFrame, tier: DataFrame, threshold: float) -> Data
     return own.exceptAll(again).union(again.exceptAll(own)).agg(F.count("*").alias("differences"))
 
 
-def observed_view(source: DataFrame, completed: DataFrame) -> DataFrame:
+def observed_view(source: DataFrame, completed: DataFrame, cell: tuple[str, ...] = ("alid", "analysis_id")) -> DataFrame:
     """Observed cells of the source that a completed release lacks or changed; all of them, not a sample."""
-    keys = ["alid", "analysis_id"]
+    keys = [*cell]
     c = completed.select(*keys, *[F.col(x).alias(f"c_{x}") for x in ("z", "se", "eaf", "status")])
     joined = source.where("status = 'observed'").join(c, keys, "left")
     same = F.col("c_status").eqNullSafe(F.lit("observed"))
