@@ -16,8 +16,17 @@ def present(text: Column) -> Column:
 
 
 def chromosome(name: Column) -> Column:
-    """1-22, X, Y, MT; other digits and missing tokens are null, any other name stays."""
-    bare = F.regexp_replace(present(name), "^(?i)chr", "")
+    """1-22, X, Y, MT; other digits and missing tokens are null, any other name stays.
+
+    Names that are normal already, nearly all, are told by one look.  Others go through a function
+    of one value (transform), which keeps the generated code small enough to be compiled.
+    """
+    text = name.cast("string")
+    bare = F.regexp_replace(present(text), "^(?i)chr", "")
+    return F.when(is_primary(text), text).otherwise(F.get(F.transform(F.array(bare), _contig), 0))
+
+
+def _contig(bare: Column) -> Column:
     upper = F.upper(bare)
     number = F.when(bare.rlike("^[0-9]+$"), bare.try_cast("int"))
     return (
@@ -38,9 +47,13 @@ def contig_rank(contig: Column) -> Column:
     return F.when(contig == "X", 23).when(contig == "Y", 24).when(contig == "MT", 25).when(contig.isin(AUTOSOMES), contig.try_cast("int")).otherwise(1000)
 
 
+def bases(upper: Column) -> Column:
+    return upper.isin("A", "C", "G", "T") | upper.rlike("^[ACGT]+$")
+
+
 def allele(text: Column) -> Column:
     upper = F.upper(F.trim(text))
-    return F.when(upper.rlike("^[ACGT]+$"), upper)
+    return F.when(bases(upper), upper)
 
 
 def allele_pair(ref: Column, alt: Column) -> Column:
@@ -94,11 +107,12 @@ def rsid(cell: Column) -> Column:
 
 def identity_fault(contig: Column, position: Column, effect: Column, other: Column, reference_known: Column) -> Column:
     """Why a row names no variant, or null."""
+    e, o = (F.upper(F.trim(x)) for x in (effect, other))
     return (
         F.when(chromosome(contig).isNull(), "chromosome_missing")
         .when(position.isNull() | (position <= 0), "chromosome_missing")
-        .when(allele(effect).isNull() | allele(other).isNull() | (allele(effect) == allele(other)), "allele_invalid")
-        .when((F.length(allele(effect)) != F.length(allele(other))) & ~reference_known, "indel_reference_undeclared")
+        .when(~F.coalesce(bases(e) & bases(o) & (e != o), F.lit(False)), "allele_invalid")
+        .when((F.length(e) != F.length(o)) & ~reference_known, "indel_reference_undeclared")
     )
 
 

@@ -15,17 +15,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants as a source names them: variant_index, chromosome, position, ref, alt, rsid."""
     part = read(spark, sf_dir, "part")
     key = F.col("p_partkey")
     ref = F.substring(F.lit("ACGT"), (1 + key % 4).cast("int"), F.lit(1))
     snp = F.substring(F.lit("CGTA"), (1 + key % 4).cast("int"), F.lit(1))
     alt = F.when(F.col("p_size") % 5 == 0, F.concat(ref, F.lit("T"))).otherwise(snp)
-    rows = part.select(
+    return part.select(
         key.alias("variant_index"), (1 + key % 22).cast("string").alias("chromosome"), (10000 * F.col("p_size") + key).alias("position"),
         ref.alias("ref"), alt.alias("alt"),
         F.when(key % 7 == 0, ".").otherwise(F.concat(F.lit("rs"), F.floor(key / 2).cast("string"))).alias("rsid"),
     )
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Told apart by variant_index: from 110,000 parts on, some share their canonical key (alid)."""
+    rows = alleles(spark, sf_dir)
     pair = V.allele_pair(F.col("ref"), F.col("alt"))
     return rows.select(
         "variant_index", "chromosome", "position", pair["a1"].alias("effect_allele"), pair["a2"].alias("other_allele"),

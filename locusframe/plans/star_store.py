@@ -14,16 +14,13 @@ _BUILT: dict[tuple[str, str, str], Store] = {}
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source rows as builders.build takes them; alt is the effect allele, as in the adapter."""
-    part = adapter.read(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    ref = F.substring(F.lit("ACGT"), (1 + key % 4).cast("int"), F.lit(1))
-    alt = F.when(F.col("p_size") % 5 == 0, F.concat(ref, F.lit("T"))).otherwise(F.substring(F.lit("CGTA"), (1 + key % 4).cast("int"), F.lit(1)))
-    alleles = part.select(key.alias("variant_index"), ref.alias("ref"), alt.alias("alt"))
-    names = adapter.variants(spark, sf_dir).select("variant_index", "chromosome", F.col("position").cast("int").alias("position"), "rsid")
+    """Source rows as builders.build takes them, with the numbers of parts and suppliers; alt is the effect allele, as in the adapter."""
+    names = adapter.alleles(spark, sf_dir).withColumn("position", F.col("position").cast("int"))
     ids = adapter.analyses(spark, sf_dir).select("analysis_index", "analysis_id")
-    rows = adapter.source_rows(spark, sf_dir).join(names, "variant_index").join(alleles, "variant_index").join(ids, "analysis_index")
-    return rows.select("analysis_id", F.lit("lineitem").alias("source"), F.col("row_order").alias("row"), "chromosome", "position", "ref", "alt", "rsid", "z", "se", "eaf")
+    rows = adapter.source_rows(spark, sf_dir).join(ids, "analysis_index").join(names, "variant_index")
+    return rows.select(
+        "analysis_id", "analysis_index", F.col("variant_index").alias("site"), F.lit("lineitem").alias("source"), F.col("row_order").alias("row"), "chromosome", "position", "ref", "alt", "rsid", "z", "se", "eaf",
+    )
 
 
 def store(spark: SparkSession, sf_dir: str, layout: str) -> Store:
@@ -31,7 +28,7 @@ def store(spark: SparkSession, sf_dir: str, layout: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir, layout)
     if key not in _BUILT:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        panel = adapter.variants(spark, sf_dir).where("variant_index % 2 = 0").select("alid")
+        panel = adapter.variants(spark, sf_dir).where("variant_index % 2 = 0").select("alid", F.col("variant_index").alias("site"))
         path = f"{root.rstrip('/')}/releases/{layout}-{uuid.uuid4().hex}"
         analyses = adapter.analyses(spark, sf_dir)
         _BUILT[key] = builders.build(sources(spark, sf_dir), analyses, path, layout, panel=panel if layout == "hybrid" else None, release_id="star")

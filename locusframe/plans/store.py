@@ -56,6 +56,11 @@ class Release:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def discard(self, *names: str) -> None:
+        for name in names:
+            p, fs = _path(self.spark, f"{self.path}/{name}")
+            fs.delete(p, True)
+
     def write_tiers(self) -> None:
         """Rows beyond the widest tier's cut, each with the narrowest tier it reaches, and the variant-major copy."""
         names = ["associations", *(["overflow"] if self.manifest.layout == "hybrid" else [])]
