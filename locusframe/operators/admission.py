@@ -17,6 +17,9 @@ REASONS = [
     "info_below_threshold", "maf_missing", "maf_below_threshold", "collapsed", "conflicting", "off_axis", "se_out_of_range",
 ]
 
+#: Bytes of files for one task of spread(); sizes beyond MOST_BYTES are Spark's guesses for what it can't know.
+TASK_BYTES, MOST_BYTES = 8 << 20, 1 << 50
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -61,15 +64,26 @@ def counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def collapsed(rows: DataFrame, keys: list[str], order: str = "row_order") -> DataFrame:
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt out by the keys to tasks whose number grows with the files read, so that a task's sort stays as it is; inputs of unknown size are left alone."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size > MOST_BYTES:
+        return rows
+    return rows.repartition(max(-(-size // TASK_BYTES), rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def collapsed(rows: DataFrame, keys: list[str], order: str = "row_order", dealt: bool = False) -> DataFrame:
     """The first row of each place whose rows all agree with it on z and se (null equals null); places that disagree are gone.
 
-    One aggregation with map-side combining; a place with many rows needs no sort.
+    One aggregation; a place with many rows needs no window.  dealt: rows come dealt out (spread) by some of the keys.
     """
     carried = [c for c in rows.columns if c not in (*keys, order)]
-    pair = F.struct("z", "se")
-    grouped = rows.groupBy(*keys).agg(F.min_by(F.struct(*carried), order).alias("r"), F.count("*").alias("n_rows"), F.min(pair).alias("lo"), F.max(pair).alias("hi"))
-    return grouped.where(F.col("lo").eqNullSafe(F.col("hi"))).select(*keys, "r.*", "n_rows")
+    ends = [f(c).alias(f"_{c}_{i}") for c in ("z", "se") for i, f in enumerate((F.min, F.max, F.count))]
+    grouped = (rows if dealt else spread(rows, keys)).groupBy(*keys).agg(F.min_by(F.struct(*carried), order).alias("r"), F.count("*").alias("n_rows"), *ends)
+    for c in ("z", "se"):
+        grouped = grouped.where(F.col(f"_{c}_0").eqNullSafe(F.col(f"_{c}_1")) & ((F.col(f"_{c}_2") == F.col("n_rows")) | (F.col(f"_{c}_2") == 0)))
+    return grouped.select(*keys, "r.*", "n_rows")
 
 
 def duplicate_counts(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
