@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import admission
 from . import adapter, builders
 from .store import Store
 
@@ -17,7 +18,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source rows as builders.build takes them, with the numbers of parts and suppliers; alt is the effect allele, as in the adapter."""
     names = adapter.alleles(spark, sf_dir).withColumn("position", F.col("position").cast("int"))
     ids = adapter.analyses(spark, sf_dir).select("analysis_index", "analysis_id")
-    rows = adapter.source_rows(spark, sf_dir).join(ids, "analysis_index").join(names, "variant_index")
+    rows = admission.spread(adapter.source_rows(spark, sf_dir).join(ids, "analysis_index"), ["variant_index"]).join(names, "variant_index")
     return rows.select(
         "analysis_id", "analysis_index", F.col("variant_index").alias("site"), F.lit("lineitem").alias("source"), F.col("row_order").alias("row"), "chromosome", "position", "ref", "alt", "rsid", "z", "se", "eaf",
     )

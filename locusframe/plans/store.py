@@ -133,10 +133,10 @@ class Store:
         return None if row is None else row[0]
 
     def analysis(self, analysis_id: str, observed_only: bool = False, subset: str | None = None) -> DataFrame:
-        """Every association of one analysis; none for an unknown id.  subset: a named subset, which must exist and be current."""
+        """Every association of one analysis (or of all that bear the id, where the release doesn't hold to unique ones); none for an unknown id.  subset: a named subset, which must exist and be current."""
         rows = self.subset(subset) if subset else self.associations()
-        index = self._index_of(analysis_id)
-        return reads.observed_only(rows.where(F.lit(False) if index is None else F.col("analysis_index") == index), observed_only)
+        named = self.analyses().where(F.col("analysis_id") == analysis_id).select("analysis_index").collect()
+        return reads.observed_only(rows.where(F.col("analysis_index").isin([r[0] for r in named])), observed_only)
 
     def phewas(self, identifier: str, observed_only: bool = False) -> DataFrame:
         named = (F.col("alid") == identifier) | ((F.col("rsid") == identifier) & (F.col("rsid") != ".") & (F.octet_length("rsid") <= 24))
